@@ -94,8 +94,9 @@ def parse_lines(df: DataFrame, line: str = "raw_line", fields=GNIS_FIELDS, check
     ok = F.lit(False)
     for c, check in checks.items():
         ok = ok | ((F.col("c") == c) & check(F.col("v")))
-    # The verdict names `rows`, an aggregate, so that it is taken after the distinct values are made.
-    bad = small(cut(values.filter(~F.coalesce(ok, F.lit(False)) & (F.col("rows") > 0)).select("c", "v")))
+    # The verdict hangs on `rows`, an aggregate: else it would be pushed below it, to every row.
+    failed = F.when(F.col("rows") > 0, ~F.coalesce(ok, F.lit(False))).otherwise(False)
+    bad = small(cut(values.filter(failed).select("c", "v")))
     reason = F.col(why)
     for name, c in zip(dup, checks):
         side = bad.filter(F.col("c") == c).select(F.col("v").alias(name))
