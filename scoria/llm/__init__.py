@@ -1,4 +1,8 @@
 """Training-data operators on records and texts: queries and SQL."""
 
-QUERIES = {}
-ORACLE = {}
+from __future__ import annotations
+
+from . import queries
+
+QUERIES = queries.QUERIES
+ORACLE = queries.ORACLE

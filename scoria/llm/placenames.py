@@ -1,0 +1,167 @@
+"""Typed place names taken apart: what kind of place, which of several, whom it honours, and its own word.
+
+A name is folded to plain lower-case letters and digits and each word is sorted into one
+of four parts by the word lists below; what is in none of them is the name's own word,
+the rare part that tells places apart. Several own words are put together, since typed
+names break and join them at will.
+"""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+from functools import lru_cache
+from typing import NamedTuple
+
+# Words for a kind of place, as spelled and abbreviated by people, by word.
+GENERIC = {
+    "peak": "peak pk peek peaks",
+    "mount": "mount mt mnt",
+    "mountain": "mountain mtn mountian mtns",
+    "hill": "hill hl",
+    "dome": "dome dm",
+    "butte": "butte bt but",
+    "pass": "pass ps",
+    "gap": "gap",
+    "notch": "notch ntch",
+    "saddle": "saddle saddel sdl",
+    "spring": "spring springs spr sprg spg sprs spgs",
+    "falls": "falls fall fls",
+    "cascade": "cascade cascades casc",
+    "rock": "rock rk rocks",
+    "pillar": "pillar plr piller",
+    "pinnacle": "pinnacle pinacle pinn",
+    "arch": "arch",
+    "bridge": "bridge br natural nat",
+    "cave": "cave caves cv",
+    "cavern": "cavern caverns cvrn",
+    "campground": "campground campgrnd cmpgrd cg camp ground grd cmp campsite",
+    "group": "group grp",
+    "trailhead": "trailhead trlhd th trail head tr",
+    "picnic": "picnic pic pa area site",
+    "shelter": "shelter shltr hut hutte",
+    "ranger": "ranger rngr rs station sta stn",
+    "visitor": "visitor visitors vis vc center centre ctr",
+}
+# The kind of place that each word stands for.
+FAMILY = {
+    "summit": "peak mount mountain hill dome butte",
+    "pass": "pass gap notch saddle",
+    "spring": "spring",
+    "waterfall": "falls cascade",
+    "rock": "rock pillar pinnacle",
+    "arch": "arch bridge",
+    "cave": "cave cavern",
+    "campground": "campground group",
+    "trailhead": "trailhead",
+    "picnic_site": "picnic",
+    "shelter": "shelter",
+    "ranger_station": "ranger",
+    "visitor_center": "visitor",
+}
+# Words that tell apart places of one name.
+MODIFIER = {
+    "north": "north no nth", "south": "south so sth", "east": "east", "west": "west",
+    "upper": "upper up upr uppr", "lower": "lower lwr lo", "big": "big bg", "little": "little ltl lil lttl",
+    "two": "two 2", "three": "three 3", "seven": "seven 7",
+    "old": "old ol olde", "hidden": "hidden hiden hddn", "lone": "lone lon", "silver": "silver slvr",
+    "copper": "copper coper cop", "granite": "granite granit gran", "cedar": "cedar ceder", "juniper": "juniper junipr",
+    "thunder": "thunder thndr", "fort": "fort ft", "saint": "saint st",
+}
+# Given names and their short forms.
+GIVEN = {
+    "william": "william bill will wm billy", "robert": "robert bob rob bobby robt", "james": "james jim jas jimmy",
+    "charles": "charles chuck chas charlie", "henry": "henry hank harry", "edward": "edward ed ned ted eddie teddy edw",
+    "richard": "richard dick rich rick", "theodore": "theodore theo ted teddy", "katherine": "katherine kate kathy kit kath",
+    "elizabeth": "elizabeth liz beth betty eliza", "margaret": "margaret meg peggy maggie marg", "dorothy": "dorothy dot dolly",
+}
+# Texts that only say that a name is missing, by their letters and digits.
+NO_NAME = frozenset(" na none null nil unknown noname nameunknown unnamed tbd nodata notavailable nan untitled missing".split(" "))
+
+_WORDS: dict[str, list[tuple[str, str]]] = {}
+for _part, _list in (("generic", GENERIC), ("modifier", MODIFIER), ("given", GIVEN)):
+    for _word, _forms in _list.items():
+        for _form in _forms.split():
+            _WORDS.setdefault(_form, []).append((_part, _word))
+_FAMILY = {w: f for f, ws in FAMILY.items() for w in ws.split()}
+_SINGLE = re.compile(r"\b([a-z])\.([a-z])\.")
+
+
+class Parts(NamedTuple):
+    """A name's parts; `family` and `generic` are empty where no word says the kind."""
+
+    core: str
+    family: str
+    generic: str
+    modifiers: tuple[str, ...]
+    given: tuple[str, ...]
+    initials: tuple[str, ...]
+
+
+def fold(text: str) -> str:
+    """Lower case without accents."""
+    text = unicodedata.normalize("NFKD", text.casefold())
+    return "".join(c for c in text if not unicodedata.combining(c))
+
+
+def says_nothing(text: str | None) -> bool:
+    """Null, or a text that holds no word but one for a missing name."""
+    return text is None or re.sub(r"[\W_]+", "", fold(text)) in NO_NAME
+
+
+@lru_cache(maxsize=1 << 16)
+def parts(name: str) -> Parts:
+    """The parts of a name; all empty for a text that says nothing.
+
+    A single letter is kept as an initial: it may stand for a given name (W. for William)
+    or for a word that tells places apart (W. for west); `told_apart` settles which.
+    """
+    if says_nothing(name):
+        return Parts("", "", "", (), (), ())
+    text = _SINGLE.sub(r"\1\2 ", fold(name))
+    words = [w for w in re.split(r"[^\w]+|_", text.replace("'", "")) if w and w != "the"]
+    core, generic, modifiers, given, initials = [], set(), set(), [], []
+    camp = any("campground" in (g for _, g in _WORDS.get(w, ())) for w in words)
+    for w in words:
+        forms = [("generic", "group" if camp else "gap")] if w == "gp" else _WORDS.get(w)
+        if forms is None:
+            (initials if len(w) == 1 and w.isalpha() else core).append(w)
+        elif forms[0][0] == "generic":
+            generic.add(forms[0][1])
+        elif forms[0][0] == "modifier":
+            modifiers.add(forms[0][1])
+        else:
+            given.append("|".join(x for _, x in forms))
+    families = {_FAMILY[g] for g in generic}
+    if len(families) > 1 and "group" not in generic:  # "Trailhead Camp Ground" aside, the longer kind wins
+        families -= {"campground"}
+    return Parts("".join(core), min(families, default=""), "+".join(sorted(generic)), tuple(sorted(modifiers)), tuple(sorted(given)), tuple(sorted(initials)))
+
+
+#: Kinds that sources take for one another.
+CONFUSED = {frozenset(x) for x in (("summit", "rock"), ("summit", "pass"), ("spring", "waterfall"))}
+# Other tables' words for a kind of place.
+KIND = {"peak": "summit", "saddle": "pass", "camp_site": "campground", "cave_entrance": "cave", "information": "visitor_center"}
+
+
+def same_family(name_a: str, kind_a: str | None, name_b: str, kind_b: str | None) -> bool:
+    """Whether two records may be one kind of place; the word in a name outweighs the column."""
+    if name_a and name_b:
+        return name_a == name_b
+    a, b = name_a or KIND.get(kind_a, kind_a), name_b or KIND.get(kind_b, kind_b)
+    if not a or not b or a == b:
+        return True
+    return frozenset((a, b)) in CONFUSED
+
+
+def told_apart(mods_a, given_a, ini_a, mods_b, given_b, ini_b) -> bool:
+    """Whether words besides the own word say that two names are of different places."""
+    free_a, free_b = list(ini_a), list(ini_b)
+    for only, free in ((set(mods_a) - set(mods_b), free_b), (set(mods_b) - set(mods_a), free_a)):
+        for word in sorted(only):
+            if word[0] not in free:
+                return True
+            free.remove(word[0])
+    if given_a and given_b:
+        return not {x for g in given_a for x in g.split("|")} & {x for g in given_b for x in g.split("|")}
+    return False

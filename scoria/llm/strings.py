@@ -1,0 +1,55 @@
+"""Letter-level measures over many pairs of short strings at once."""
+
+from __future__ import annotations
+
+import numpy as np
+
+#: Longer strings are compared by their q-grams, as edit distance is quadratic in length.
+LONG = 64
+
+
+def grams(word: str, q: int = 2) -> list[str]:
+    """The q-grams of a word with its ends marked."""
+    padded = "^" + word + "$"
+    return [padded[i : i + q] for i in range(len(padded) - q + 1)]
+
+
+def _matrix(words: list[str], width: int) -> np.ndarray:
+    out = np.zeros((len(words), width), np.uint32)
+    for i, w in enumerate(words):
+        out[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.uint32)
+    return out
+
+
+def _distances(a: list[str], b: list[str]) -> np.ndarray:
+    la, lb = np.array([len(x) for x in a]), np.array([len(x) for x in b])
+    ma, mb = _matrix(a, max(1, la.max())), _matrix(b, max(1, lb.max()))
+    steps = np.arange(mb.shape[1] + 1, dtype=np.int16)
+    row = np.repeat(steps[None, :], len(a), 0)
+    out = np.where(la == 0, lb, 0)
+    for i in range(1, ma.shape[1] + 1):
+        new = np.empty_like(row)
+        new[:, 0] = i
+        new[:, 1:] = np.minimum(row[:, 1:] + 1, row[:, :-1] + (ma[:, i - 1, None] != mb))
+        row = np.minimum.accumulate(new - steps, axis=1) + steps
+        done = la == i
+        if done.any():
+            out[done] = row[done, lb[done]]
+    return out
+
+
+def edit_ratios(a: list[str], b: list[str], batch: int = 4096) -> np.ndarray:
+    """Edit distance of each pair divided by the longer length; 1 for pairs with an empty side."""
+    out = np.ones(len(a))
+    short = np.array([0 < len(x) <= LONG and 0 < len(y) <= LONG for x, y in zip(a, b)], bool)
+    at = np.flatnonzero(short)
+    at = at[np.argsort([len(a[i]) + len(b[i]) for i in at], kind="stable")]
+    for k in range(0, len(at), batch):
+        part = at[k : k + batch]
+        x, y = [a[i] for i in part], [b[i] for i in part]
+        out[part] = _distances(x, y) / np.array([max(len(p), len(q)) for p, q in zip(x, y)])
+    for i in np.flatnonzero(~short):
+        if a[i] and b[i]:
+            p, q = set(grams(a[i])), set(grams(b[i]))
+            out[i] = 1 - 2 * len(p & q) / (len(p) + len(q))
+    return out
