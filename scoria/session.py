@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,17 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def store(df: DataFrame) -> DataFrame:
+    """The same rows, written once as a table in the checkpoint folder and read back.
+
+    Cuts the lineage as `cut` does; later reads take only the columns and row groups they
+    need, which pays where rows are wide or read several times.
+    """
+    path = f"{checkpoint_dir(df.sparkSession)}/scoria-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """Mark a materialized side for broadcast if its measured size allows it.
 
