@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import table
+from .linkage import match_entities
 from .variants import link_variants, place_records
 
 
@@ -13,5 +15,15 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return link_variants(records).select("id_a", "id_b")
 
 
-QUERIES = {"p1_found": p1_found}
+def p5_matches(spark: SparkSession, sf: str) -> DataFrame:
+    land = table(spark, sf, "landmarks")
+    sources = [land.filter(F.col("agency") == a) for a in ("USGS GNIS", "GeoNames")]
+    return match_entities(*sources).filter("fits").select("id_a", "id_b", F.round("confidence", 4).alias("confidence"))
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p5_matches(spark, sf).filter("confidence >= 0.5").select("id_a", "id_b")
+
+
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_matches": p5_matches}
 ORACLE = {}
