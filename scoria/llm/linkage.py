@@ -22,7 +22,7 @@ from ..functions.geo import haversine_m, usable
 from ..session import store
 from .placenames import parts, same_family
 from .strings import edit_ratios
-from .variants import CELL, CLOSE_RATIO, NEAR_M, NEAR_RATIO, _apart, _cell_key, _lon_cell, bit_vector, gram_codes
+from .variants import CELL, CLOSE_RATIO, NEAR_M, NEAR_RATIO, _apart, _cell_key, _lon_cell, bit_vector, gram_codes, marks_text
 
 REACH_M = 700.0
 RING_M = 1400.0
@@ -41,7 +41,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [parts(n) for n in pdf["name"]]
         pdf["core"] = [p.core for p in rows]
         pdf["family"] = [p.family for p in rows]
-        pdf["marks"] = ["/".join([",".join(p.modifiers), ",".join(p.given), ",".join(p.initials)]) for p in rows]
+        pdf["marks"] = [marks_text(p) for p in rows]
         pdf["bits"] = np.array([bit_vector(gram_codes(p.core)) for p in rows], np.int64)
         yield pdf.drop(columns=["name"])[pdf["core"] != ""]
 
@@ -71,11 +71,6 @@ def _pairs(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
     return h.join(v, "k").filter((F.bit_count(differ) < CHUNKS) & (first == F.col("i"))).select("ra", "rb")
 
 
-def _place_gap(metres: np.ndarray) -> np.ndarray:
-    """Dice score of two discs of REACH_M around two places, by the overlap of their widths."""
-    return np.clip(1 - metres / REACH_M, 0, 1)
-
-
 def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     w = WEIGHTS
     for pdf in batches:
@@ -86,14 +81,16 @@ def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         family = np.array([same_family(*r) for r in zip(pdf["family_a"], pdf["kind_a"], pdf["family_b"], pdf["kind_b"])], bool)
         same = (pdf["kind_a"] == pdf["kind_b"]).to_numpy()
         kind = np.where(family, np.where(same, 1.0, 0.7), 0.0)
-        marks = np.where(apart, 0.0, np.where((pdf["marks_a"] == pdf["marks_b"]).to_numpy(), 1.0, 0.7))
+        marks = np.where(apart, 0.0, np.where((pdf["marks_a"].fillna("") == pdf["marks_b"].fillna("")).to_numpy(), 1.0, 0.7))
         metres = pdf["metres"].to_numpy()
-        # The place counts within reach; in the ring, pairs are scored as if drawn from within it.
-        place = _place_gap(np.where(metres <= REACH_M, metres, metres * REACH_M / RING_M))
+        inside = metres <= REACH_M
+        # In the ring, pairs are scored as if they lay within reach.
+        metres = np.where(inside, metres, metres * REACH_M / RING_M)
         ratio = edit_ratios(pdf["core_a"].tolist(), pdf["core_b"].tolist())
         fits = family & ~apart & (ratio < NEAR_RATIO) & ((ratio < CLOSE_RATIO) | (metres <= NEAR_M))
+        place = np.clip(1 - metres / REACH_M, 0, 1)  # Dice score of two discs, by the overlap of their widths
         score = w["name"] * name + w["kind"] * kind + w["marks"] * marks + w["place"] * place
-        yield pd.DataFrame({"a": pdf["id_a"], "b": pdf["id_b"], "score": score, "inside": metres <= REACH_M, "fits": fits & (metres <= REACH_M)})
+        yield pd.DataFrame({"a": pdf["id_a"], "b": pdf["id_b"], "score": score, "inside": inside})[fits]
 
 
 def calibrate(inside: np.ndarray, outside: np.ndarray, ratio: float) -> np.ndarray:
@@ -116,20 +113,20 @@ def calibrate(inside: np.ndarray, outside: np.ndarray, ratio: float) -> np.ndarr
 
 
 def match_entities(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Pairs (id_a, id_b, score, confidence, fits) of records of a and b, smaller id first.
+    """Pairs (id_a, id_b, score, confidence) of records of a and b, smaller id first.
 
     Both sides have `id`, `name`, `name_key`, `kind`, `lon`, `lat`; other columns are not
     read. `name_key` stands in for a null name. Records without an id, a telling name or a
     usable position match nothing. All pairs within REACH_M whose name vectors differ in
-    fewer than CHUNKS bits are scored; `fits` is an exact check of the names behind the
-    vectors. Repeated rows give a pair once, ties need no order, an empty side gives no pairs.
+    fewer than CHUNKS bits are scored, and those kept whose names pass an exact check: the
+    vectors may agree where letters do not. Repeated rows give a pair once, ties need no order, an empty side gives no pairs.
     """
     a, b = store(_prepare(a)), store(_prepare(b))
     side = lambda df, s: df.select(F.col("rid").alias(f"r{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "kind", "lon", "lat", "core", "family", "marks", "bits")))
     pairs = _pairs(a, b, RING_M).join(side(a, "a"), "ra").join(side(b, "b"), "rb")
     metres = haversine_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"))
     pairs = pairs.withColumn("metres", metres).filter(F.col("metres") <= RING_M)
-    scored = store(pairs.mapInPandas(_score, "a string, b string, score double, inside boolean, fits boolean"))
+    scored = store(pairs.mapInPandas(_score, "a string, b string, score double, inside boolean"))
 
     bin_of = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
     counts = np.zeros((2, BINS))
@@ -137,5 +134,5 @@ def match_entities(a: DataFrame, b: DataFrame) -> DataFrame:
         counts[int(row["inside"]), row["bin"]] = row["count"]
     sure = calibrate(counts[1], counts[0], REACH_M**2 / (RING_M**2 - REACH_M**2))
     confidence = F.get(F.array(*(F.lit(float(x)) for x in sure)), bin_of)
-    out = scored.filter("inside").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "score", confidence.alias("confidence"), "fits")
-    return out.groupBy("id_a", "id_b").agg(F.max("score").alias("score"), F.max("confidence").alias("confidence"), F.max("fits").alias("fits"))
+    out = scored.filter("inside").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "score", confidence.alias("confidence"))
+    return out.groupBy("id_a", "id_b").agg(F.max("score").alias("score"), F.max("confidence").alias("confidence"))

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..session import table
 from .linkage import match_entities
+from .packing import CAPACITY, pack
+from .survivors import best_records, field_winners
 from .variants import link_variants, place_records
 
 
@@ -18,12 +20,70 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 def p5_matches(spark: SparkSession, sf: str) -> DataFrame:
     land = table(spark, sf, "landmarks")
     sources = [land.filter(F.col("agency") == a) for a in ("USGS GNIS", "GeoNames")]
-    return match_entities(*sources).filter("fits").select("id_a", "id_b", F.round("confidence", 4).alias("confidence"))
+    return match_entities(*sources).select("id_a", "id_b", F.round("confidence", 4).alias("confidence"))
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return p5_matches(spark, sf).filter("confidence >= 0.5").select("id_a", "id_b")
 
 
-QUERIES = {"p1_found": p1_found, "p5_found": p5_found, "p5_matches": p5_matches}
-ORACLE = {}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return field_winners(table(spark, sf, "features"), table(spark, sf, "agencies")).select("match_group", "field_name", "id")
+
+
+def p4_records(spark: SparkSession, sf: str) -> DataFrame:
+    return best_records(table(spark, sf, "features"), table(spark, sf, "agencies"))
+
+
+def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
+    return pack(table(spark, sf, "documents")).select("doc_id", "part", "container", "place", "tokens")
+
+
+QUERIES = {
+    "p4_found": p4_found, "p4_records": p4_records, "p6_containers": p6_containers,
+    "p1_found": p1_found, "p5_found": p5_found, "p5_matches": p5_matches,
+}
+
+_NOTHING = "('', 'na', 'none', 'null', 'nil', 'unknown', 'noname', 'nameunknown', 'unnamed', 'tbd', 'nodata', 'notavailable', 'nan', 'untitled', 'missing')"
+_LETTERS = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]', '', 'g')"
+
+
+def _said(c: str) -> str:
+    return f"case when {_LETTERS.format(c)} not in {_NOTHING} then {c} end"
+
+
+def _agency(c: str) -> str:
+    x = _LETTERS.format(c)
+    return (
+        f"case when {x} in {_NOTHING} then null when regexp_matches({x}, 'forest|usfs') then 'USFS' when regexp_matches({x}, 'park|^nps$') then 'NPS' "
+        f"when regexp_matches({x}, '^rec|ridb') then 'Recreation.gov' when regexp_matches({x}, 'gnis|^usgs|geologic') then 'USGS GNIS' "
+        f"when regexp_matches({x}, 'geoname') then 'GeoNames' else trim({c}) end"
+    )
+
+
+_WINNERS = f"""
+with own as (
+  select distinct match_group, id, name, agency, elevation_m,
+    list_filter(cast(json_extract(case when json_valid(source_records) then source_records end, '$[*]') as json[]), lambda x: json_extract_string(x, '$.id') = id)[1] as own
+  from features where match_group is not null and id is not null),
+d as (
+  select match_group, id, {_agency("agency")} as said, {_said("name")} as name,
+    case when elevation_m between -500 and 9000 then elevation_m end as elevation_m,
+    json_extract_string(own, '$.details.phone') as phone0, json_extract_string(own, '$.details.water') as water0,
+    trim(json_extract_string(own, '$.details.updated')) as u from own),
+e as (
+  select match_group, id, said, name, elevation_m, {_said("phone0")} as phone, {_said("water0")} as water,
+    case when regexp_matches(u, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast(substr(u, 1, 10) as date)
+      when regexp_full_match(u, '[0-9]{{12,14}}') then date '1970-01-01' + cast(try_cast(u as bigint) // 86400000 as int)
+      when regexp_full_match(u, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') then cast(coalesce(try_strptime(u, '%m/%d/%Y'), try_strptime(u, '%d/%m/%Y')) as date)
+      else cast(try_strptime(u, '%d %b %Y') as date) end as day from d),
+f as (
+  select e.*, trust_rank, (name is not null)::int + (elevation_m is not null)::int + (phone is not null)::int + (water is not null)::int as complete
+  from e left join agencies a on a.agency = e.said),
+w as (
+  select match_group, field_name, id, row_number() over (partition by match_group, field_name order by trust_rank nulls last, day desc nulls last, complete desc, id) as rn
+  from (select match_group, id, trust_rank, day, complete, unnest(['name', 'elevation_m', 'phone', 'water']) as field_name,
+    unnest([name, cast(elevation_m as varchar), phone, water]) as value from f) where value is not null)
+"""
+
+ORACLE = {"p4_found": _WINNERS + "select match_group, field_name, id from w where rn = 1"}
