@@ -100,8 +100,8 @@ def calibrate(inside: np.ndarray, outside: np.ndarray, ratio: float) -> np.ndarr
     reach over the ring's, it is what chance gives within reach. The share beyond chance,
     pooled until it rises with the score, is the confidence.
     """
-    n = inside + 1e-9
-    share = np.clip(1 - outside * ratio / n, 0, 1)
+    n = inside + 1.0
+    share = np.clip(1 - (outside * ratio + 0.5) / n, 0, 1)  # half a pair more by chance: few pairs prove little
     blocks: list[list[float]] = []  # pooled mean, weight, bins
     for s, k in zip(share, n):
         blocks.append([s, k, 1])
