@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .leakage import find_leaks
 from .linkage import match_entities
 from .packing import CAPACITY, pack
 from .survivors import best_records, field_winners
@@ -39,8 +40,12 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents")).select("doc_id", "part", "container", "place", "tokens")
 
 
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
+
+
 QUERIES = {
-    "p4_found": p4_found, "p4_records": p4_records, "p6_containers": p6_containers,
+    "p4_found": p4_found, "p4_records": p4_records, "p6_containers": p6_containers, "p7_found": p7_found,
     "p1_found": p1_found, "p5_found": p5_found, "p5_matches": p5_matches,
 }
 
