@@ -9,6 +9,7 @@ from ..session import table
 from .leakage import find_leaks
 from .linkage import match_entities
 from .packing import CAPACITY, pack
+from .subjects import label_subjects
 from .survivors import best_records, field_winners
 from .variants import link_variants, place_records
 
@@ -44,8 +45,17 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return label_subjects(*(table(spark, sf, t) for t in ("documents", "doc_labels", "subjects")))
+
+
+def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of each subject, the corpus composition."""
+    return p8_found(spark, sf).groupBy("subject_code").agg(F.count("*").alias("documents"))
+
+
 QUERIES = {
-    "p4_found": p4_found, "p4_records": p4_records, "p6_containers": p6_containers, "p7_found": p7_found,
+    "p4_found": p4_found, "p4_records": p4_records, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition,
     "p1_found": p1_found, "p5_found": p5_found, "p5_matches": p5_matches,
 }
 
