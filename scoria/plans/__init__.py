@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import grid, problems
+from .registry import ORACLE as _ORACLE
+from .registry import QUERIES as _QUERIES
 
-QUERIES = {**problems.QUERIES}
-ORACLE = {**problems.ORACLE}
+__all__ = ["ORACLE", "QUERIES", "grid", "problems"]
+
+QUERIES = {**problems.QUERIES, **_QUERIES}
+ORACLE = {**problems.ORACLE, **_ORACLE}
