@@ -119,7 +119,7 @@ def typed_gnis(good: DataFrame, parsed: str = "fields") -> DataFrame:
     f = F.col(parsed)
     return good.select(
         "*",
-        F.regexp_replace(f["feature_id"], "^0+", "").cast("bigint").alias("feature_id"),
-        f["prim_lat_dec"].cast("double").alias("lat"),
-        f["prim_long_dec"].cast("double").alias("lon"),
+        F.regexp_replace(f["feature_id"], "^0+", "").try_cast("bigint").alias("feature_id"),
+        f["prim_lat_dec"].try_cast("double").alias("lat"),
+        f["prim_long_dec"].try_cast("double").alias("lon"),
     )
