@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import classify, grid, problems
+from . import classify, grid, match, problems
 from .registry import ORACLE as _ORACLE
 from .registry import QUERIES as _QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "classify", "grid", "problems"]
+__all__ = ["ORACLE", "QUERIES", "classify", "grid", "match", "problems"]
 
 QUERIES = {**problems.QUERIES, **_QUERIES}
 ORACLE = {**problems.ORACLE, **_ORACLE}

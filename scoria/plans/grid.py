@@ -287,10 +287,10 @@ def _(spark, sf):
     return table(spark, sf, "osm_elements").select("osm_id", names.active_flag(F.col("tags")["drinking_water"]).alias("active"))
 
 
-@query("c03_road_refs", """select l_orderkey, l_linenumber, list_sort(list_distinct([r for r in [regexp_replace(trim(v), '^(?:NFSR|NF|FR|FS)\\s*[- ]?\\s*([0-9])', '\\1') for v in string_split(upper('fs ' || l_partkey || ';NF-' || l_suppkey || ';Old Road'), ';')] if regexp_matches(r, '[0-9]')])) as refs from lineitem""")
+@query("c03_road_refs", """select l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct([r for r in [regexp_replace(trim(v), '^(?:NFSR|NF|FR|FS)\\s*[- ]?\\s*([0-9])', '\\1') for v in string_split(upper('fs ' || l_partkey || ';NF-' || l_suppkey || ';Old Road'), ';')] if regexp_matches(r, '[0-9]')])), ',') as refs from lineitem""")
 def _(spark, sf):
     ref = F.concat(F.lit("fs "), "l_partkey", F.lit(";NF-"), "l_suppkey", F.lit(";Old Road"))
-    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", names.road_refs(ref).alias("refs"))
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(names.road_refs(ref), ",").alias("refs"))
 
 
 @query("p13_route_ref", """with t as (select p_partkey, upper(case p_partkey % 6 when 0 then 'Pacific Crest Trail' when 1 then 'pct section ' || p_partkey when 2 then 'Appalachian Trail Spur' when 3 then 'Upper Ice Age Trail' when 4 then 'PCTX path' else p_name end) as u from part)
