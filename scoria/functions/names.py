@@ -65,7 +65,7 @@ def display_name(name: Column) -> Column:
     word = lambda w: (
         F.when(w == "CG", "Campground")
         .when(w.isin(*CAPITALS) | w.rlike("[0-9]") | (F.length(w) == 1), w)
-        .otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2)))))
+        .otherwise(F.array_join(F.transform(F.split(w, "'"), lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substr(x, F.lit(2))))), "'"))
     )
     # Words and what lies between them, in turn.
     pieces = F.regexp_extract_all(name, F.lit(r"([A-Z0-9]+(?:'[A-Z]+)?|[^A-Z0-9]+)"), 1)
