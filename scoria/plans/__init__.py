@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import classify, grid, ledger, match, problems
+from . import classify, grid, ledger, match, problems, shapes
 from .registry import ORACLE as _ORACLE
 from .registry import QUERIES as _QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "classify", "grid", "ledger", "match", "problems"]
+__all__ = ["ORACLE", "QUERIES", "classify", "grid", "ledger", "match", "problems", "shapes"]
 
 QUERIES = {**problems.QUERIES, **_QUERIES}
 ORACLE = {**problems.ORACLE, **_ORACLE}
