@@ -27,7 +27,7 @@ from .placenames import fold
 MASKS = ("11101", "110101", "1100101", "1010011")
 LEAST_SHARE = 0.4
 #: Items that may share a word for it to count as rare; seeds wanted in every stretch; meetings before comparing.
-RARE_ITEMS, SEEDS_A_STRETCH, MEETINGS = 3, 12, 2
+RARE_ITEMS, SEEDS_A_STRETCH, MEETINGS = 3, 12, 4
 #: Words of test items in one block; the index of a block has at most four entries a word.
 BLOCK_WORDS = 2_000_000
 #: Of the weight of a stretch, what must be found in order; and cost of a foreign word inside, in mean weights.
@@ -107,23 +107,40 @@ class SeedIndex:
             new[1:] = (self.keys[1:] != self.keys[:-1]) | (self.owners[1:] != self.owners[:-1])
             self.keys, self.owners = self.keys[new], self.owners[new]
 
-    def meetings(self, ids: np.ndarray) -> dict[int, int]:
-        """Number of distinct seeds of each item that occur in a document."""
-        found: list[np.ndarray] = []
+    def meetings(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
+        """(document, item, first word, last word) where enough distinct seeds of an item occur in a document.
+
+        The documents lie end to end with a gap of unknown words between, so that one pass hashes them all.
+        """
+        gap = np.zeros(max(map(len, MASKS)), np.uint64)
+        ids = np.concatenate([x for d in docs for x in (d, gap)]) if docs else gap
+        starts = np.cumsum([0] + [len(d) + len(gap) for d in docs])
+        parts = []
         for number, mask in enumerate(MASKS):
-            h = np.unique(_seed_hashes(ids, mask, number))
-            found.append(h[h != 0])
-        h = np.concatenate(found)
-        if not len(h) or not len(self.keys):
-            return {}
-        lo, hi = np.searchsorted(self.keys, h), np.searchsorted(self.keys, h, "right")
-        lo, hi = lo[hi > lo], hi[hi > lo]
-        if not len(lo):
-            return {}
-        n = hi - lo
-        at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        count = np.bincount(self.owners[at], minlength=len(self.items))
-        return {int(i): int(count[i]) for i in np.flatnonzero(count >= MEETINGS)}
+            h = _seed_hashes(ids, mask, number)
+            at = np.flatnonzero(h)
+            h = h[at]
+            lo = np.searchsorted(self.keys, h)
+            hit = lo < len(self.keys)
+            hit[hit] = self.keys[lo[hit]] == h[hit]
+            lo, at, h = lo[hit], at[hit], h[hit]
+            n = np.searchsorted(self.keys, h, "right") - lo
+            entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            parts.append((entry, np.repeat(at, n)))
+        entry, at = (np.concatenate(x) for x in zip(*parts))
+        if not len(entry):
+            return []
+        doc = np.searchsorted(starts, at, "right") - 1
+        pair = doc * len(self.items) + self.owners[entry]
+        order = np.argsort(pair, kind="stable")
+        pair, entry, at = pair[order], entry[order], at[order]
+        edges = np.concatenate([[0], np.flatnonzero(pair[1:] != pair[:-1]) + 1, [len(pair)]])
+        out = []
+        for a, b in zip(edges[:-1], edges[1:]):
+            if b - a >= MEETINGS and len(np.unique(entry[a:b])) >= MEETINGS:
+                d, item = divmod(int(pair[a]), len(self.items))
+                out.append((d, item, int(at[a:b].min() - starts[d]), int(at[a:b].max() - starts[d])))
+        return out
 
     def share(self, item: int, ids: np.ndarray) -> tuple[float, float]:
         """Of the best stretch found in order in a document: share of the passage's words, share of weight found."""
@@ -158,14 +175,18 @@ class SeedIndex:
 def _scan(index: SeedIndex):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = []
-            for doc, text in zip(pdf["doc"], pdf["text"]):
-                ids = np.array([index.ids.get(x, 0) for x in words(text)], np.uint64)
-                for item in index.meetings(ids):
-                    share, weight = index.share(item, ids)
+            for k in range(0, len(pdf), 128):
+                part = pdf.iloc[k : k + 128]
+                names = part["doc"].to_numpy()
+                docs = [np.array([index.ids.get(x, 0) for x in words(t)], np.uint64) for t in part["text"]]
+                rows = []
+                for d, item, lo, hi in index.meetings(docs):
+                    # A stretch reaches at most a passage beyond its seeds, and as much again for words put in between.
+                    reach = 2 * len(index.passages[item])
+                    share, weight = index.share(item, docs[d][max(0, lo - reach) : hi + reach])
                     if share >= LEAST_SHARE - 0.01 and weight >= LEAST_WEIGHT:  # a word's play at the ends
-                        rows.append((doc, index.items[item], share))
-            yield pd.DataFrame(rows, columns=["doc", "item", "share"]).astype({"item": "int64", "share": "float64"})
+                        rows.append((names[d], index.items[item], share))
+                yield pd.DataFrame(rows, columns=["doc", "item", "share"]).astype({"item": "int64", "share": "float64"})
 
     return run
 

@@ -100,7 +100,10 @@ class Parts(NamedTuple):
 
 def fold(text: str) -> str:
     """Lower case without accents."""
-    text = unicodedata.normalize("NFKD", text.casefold())
+    text = text.casefold()
+    if text.isascii():
+        return text
+    text = unicodedata.normalize("NFKD", text)
     return "".join(c for c in text if not unicodedata.combining(c))
 
 
