@@ -77,6 +77,16 @@ def test_order_and_cells_do_not_mix(spark):
     assert total(net(spark, REF, a, {**b, "cell": 2}), "b") == 300
 
 
+def test_source_junctions_are_kept(spark):
+    """A branch met a survey that the reference replaces: it is led on to the reference, but only if they met."""
+    main = dict(id="m", agency="NPS", name="Ridge Trail", wkt="LINESTRING(0 12, 500 12, 1000 12)")
+    branch = dict(id="b", agency="NPS", name="Side", wkt="LINESTRING(500 12, 500 300)")
+    assert abs(total(net(spark, REF, main, branch), "b") - 300) < 0.1
+    apart = {**branch, "wkt": "LINESTRING(500 12.5, 500 300)"}
+    assert abs(total(net(spark, REF, main, apart), "b") - 287.5) < 0.1
+    assert abs(total(net(spark, REF, {**main, "bridge": False}, {**branch, "bridge": True}), "b") - 288) < 0.1
+
+
 def test_odd_shapes(spark):
     out = net(spark, REF, dict(id="n", wkt=None), dict(id="e", wkt="LINESTRING EMPTY"), dict(id="bad", wkt="LINE(1"), dict(id="ring", agency="NPS", wkt="LINESTRING(0 900, 50 900, 50 950, 0 900)"))
     assert {r["id"] for r in out} == {"r", "ring"}

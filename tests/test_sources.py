@@ -134,3 +134,41 @@ def test_publication(spark, tmp_path):
     with pytest.raises(ValueError, match="other contents"):
         tiles.publish(spark.range(99).selectExpr("id", "id * 2 as v"), str(tmp_path), "r1")
     assert json.loads((tmp_path / "current.json").read_text())["rows"] == 100
+
+
+def zig(n):
+    return tiles._varint(tiles._zigzag(n))
+
+
+def diffs(values):
+    return b"".join(zig(b - a) for a, b in zip([0, *values], values))
+
+
+def test_extract(spark, tmp_path):
+    from scoria.sources import extract
+
+    v, f = tiles._varint, tiles._field
+    words = [b"", b"name", b"A", b"highway", b"path", b"outer", b"natural", b"peak"]
+    table = f(1, b"".join(f(1, w) for w in words))
+    dense = f(2, f(1, diffs([10, 11, 12])) + f(8, diffs([400000000, 400010000, 400020000])) + f(9, diffs([-1100000000, -1100010000, -1100020000])) + f(10, v(1) + v(2) + v(0) + v(0) + v(6) + v(7) + v(0)))
+    way = lambda i, refs: f(3, v(1 << 3) + v(i) + f(2, v(3)) + f(3, v(4)) + f(8, diffs(refs)))
+    relation = f(4, v(1 << 3) + v(7) + f(8, v(5)) + f(9, diffs([5])) + f(10, v(1)))
+    blocks = [table + f(2, dense), table + f(2, way(5, [10, 11, 12, 10])) + f(2, way(6, [10, 99])) + f(2, way(8, [10])) + f(2, relation)]
+    out = b""
+    for kind, raw in [(b"OSMHeader", b""), *((b"OSMData", b) for b in blocks)]:
+        blob = f(3, __import__("zlib").compress(raw)) if raw else f(1, raw)
+        head = f(1, kind) + v(3 << 3) + v(len(blob))
+        out += struct.pack(">I", len(head)) + head + blob
+    (tmp_path / "x.pbf").write_bytes(out)
+    extract.register(spark)
+    df = spark.read.format("osm_extract").option("path", str(tmp_path / "x.pbf")).option("blocks", "1").load()
+    rows = {(r["elem_type"], r["id"]): r for r in df.collect()}
+    assert len(rows) == 7 and rows["node", 10]["tags"] == {"name": "A"} and rows["node", 11]["tags"] == {} and rows["node", 12]["tags"] == {"natural": "peak"}
+    assert abs(rows["node", 11]["lon"] + 110.001) < 1e-9 and abs(rows["node", 11]["lat"] - 40.001) < 1e-9
+    assert rows["way", 5]["refs"] == [10, 11, 12, 10] and rows["way", 5]["tags"] == {"highway": "path"} and tuple(rows["relation", 7]["members"][0]) == ("way", 5, "outer")
+    tagged = spark.read.format("osm_extract").option("path", str(tmp_path / "x.pbf")).option("filter", "tagged").load()
+    assert tagged.filter("elem_type = 'node'").count() == 2
+    ways, bad = extract.way_points(df)
+    w = ways.withColumn("kind", extract.regional_kind(ways["tags"])).collect()
+    assert [(r["id"], r["closed"], len(r["points"]), r["kind"]) for r in w] == [(5, True, 4, "road")]
+    assert sorted(map(tuple, bad.collect())) == [(6, "nodes missing"), (8, "too few nodes")]
