@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, usable
 from ..session import store
-from .placenames import parts, same_family
+from .placenames import parts, same_family, words_of_key
 from .strings import edit_ratios
 from .variants import CELL, CLOSE_RATIO, NEAR_M, NEAR_RATIO, _apart, _cell_key, _lon_cell, bit_vector, gram_codes, marks_text
 
@@ -38,18 +38,17 @@ def _chunk(bits: Column, i: int) -> Column:
 
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
-        rows = [parts(n) for n in pdf["name"]]
+        rows = [parts(n if isinstance(n, str) else words_of_key(k)) for n, k in zip(pdf["name"], pdf["name_key"])]
         pdf["core"] = [p.core for p in rows]
         pdf["family"] = [p.family for p in rows]
         pdf["marks"] = [marks_text(p) for p in rows]
         pdf["bits"] = np.array([bit_vector(gram_codes(p.core)) for p in rows], np.int64)
-        yield pdf.drop(columns=["name"])[pdf["core"] != ""]
+        yield pdf.drop(columns=["name", "name_key"])[pdf["core"] != ""]
 
 
 def _prepare(df: DataFrame) -> DataFrame:
-    name = F.coalesce("name", "name_key")
-    r = df.select("id", name.alias("name"), "kind", F.col("lon").cast("double"), F.col("lat").cast("double"))
-    r = r.filter(usable(F.col("lon"), F.col("lat")) & F.col("id").isNotNull() & F.col("name").isNotNull()).distinct()
+    r = df.select("id", "name", F.when(F.col("name").isNull(), F.col("name_key")).alias("name_key"), "kind", F.col("lon").cast("double"), F.col("lat").cast("double"))
+    r = r.filter(usable(F.col("lon"), F.col("lat")) & F.col("id").isNotNull() & F.coalesce("name", "name_key").isNotNull()).distinct()
     r = r.mapInPandas(_parse, "id string, kind string, lon double, lat double, core string, family string, marks string, bits long")
     return r.withColumn("rid", F.xxhash64("id", "core", "lon", "lat"))
 

@@ -168,3 +168,20 @@ def told_apart(mods_a, given_a, ini_a, mods_b, given_b, ini_b) -> bool:
     if given_a and given_b:
         return not {x for g in given_a for x in g.split("|")} & {x for g in given_b for x in g.split("|")}
     return False
+
+
+_ENDS = sorted([*GENERIC, "springs", "natural"], key=len, reverse=True)
+_STARTS = sorted([*MODIFIER, *GIVEN, "mount"], key=len, reverse=True)
+_LEAST = 4
+
+
+def words_of_key(key: str) -> str:
+    """A key without spaces parted again: known words at its start and end, its own word between."""
+    front, back = [], []
+    while hit := next((w for w in _STARTS if key.startswith(w) and len(key) - len(w) >= _LEAST), None):
+        front.append(hit)
+        key = key[len(hit) :]
+    while hit := next((w for w in _ENDS if key.endswith(w) and len(key) - len(w) >= _LEAST), None):
+        back.insert(0, hit)
+        key = key[: -len(hit)]
+    return " ".join([*front, key, *back])

@@ -4,7 +4,7 @@ import random
 
 from scoria.functions.geo import EARTH_M, angle, unit_xyz
 from scoria.llm.linkage import calibrate, match_entities
-from scoria.llm.placenames import parts, same_family, says_nothing, told_apart
+from scoria.llm.placenames import parts, same_family, says_nothing, told_apart, words_of_key
 from scoria.llm.strings import edit_ratios
 from scoria.llm.variants import CLOSE_RATIO, LEAST, NEAR_M, NEAR_RATIO, REACH_M, link_variants
 
@@ -18,6 +18,12 @@ def test_parts():
     assert parts("Spring").core == ""
 
 
+def test_keys_parted_again():
+    assert words_of_key("eastrobertpeathophspring") == "east robert peathoph spring" and words_of_key("mountzaquodro") == "mount zaquodro"
+    assert parts(words_of_key("voanifloarch"))[:2] == ("voaniflo", "arch") and words_of_key("peak") == "peak" and words_of_key("") == ""
+    assert parts(words_of_key("bopraloaxnaturalbridge")).core == "bopraloax"
+
+
 def test_told_apart():
     a = lambda x, y: told_apart(*parts(x)[3:], *parts(y)[3:])
     assert a("East Foo Peak", "West Foo Peak") and a("Big Foo", "Foo") and a("Robert Foo", "Henry Foo")
