@@ -43,23 +43,24 @@ def _fields(line: str, sep: str) -> str:
     """SQL for struct(fields, bad_quote) of a line; a fold over the pieces between quotes."""
     split = f"split({line}, '[{sep}]', -1)"
     pieces = f"split({line}, '\"', -1)"
-    last = f"size({pieces}) - 1"
+    last = "(e.i = s.n - 1)"
     part = f"split(e.p, '[{sep}]', -1)"
     n = f"size({part})"
     fold = f"""aggregate(
-      transform({pieces}, (p, i) -> named_struct('p', p, 'i', i, 'last', i = {last})),
-      named_struct('f', cast(array() as array<string>), 'cur', '', 'mode', 0, 'bad', false),
+      transform({pieces}, (p, i) -> named_struct('p', p, 'i', i)),
+      named_struct('f', cast(array() as array<string>), 'cur', '', 'mode', 0, 'bad', false, 'n', size({pieces})),
       (s, e) -> CASE
-        WHEN s.mode = 1 THEN named_struct('f', s.f, 'cur', concat(s.cur, e.p), 'mode', 2, 'bad', s.bad OR e.last)
-        WHEN s.mode = 2 AND e.p = '' AND NOT e.last
-          THEN named_struct('f', s.f, 'cur', concat(s.cur, '"'), 'mode', 1, 'bad', s.bad)
+        WHEN s.mode = 1 THEN named_struct('f', s.f, 'cur', concat(s.cur, e.p), 'mode', 2, 'bad', s.bad OR {last}, 'n', s.n)
+        WHEN s.mode = 2 AND e.p = '' AND NOT {last}
+          THEN named_struct('f', s.f, 'cur', concat(s.cur, '"'), 'mode', 1, 'bad', s.bad, 'n', s.n)
         ELSE named_struct(
           'f', CASE WHEN {n} = 1 THEN s.f
                     ELSE concat(s.f, array(concat(s.cur, element_at({part}, 1))), slice({part}, 2, {n} - 2)) END,
           'cur', CASE WHEN {n} = 1 THEN concat(s.cur, e.p) ELSE element_at({part}, -1) END,
           'mode', 1,
           'bad', s.bad OR (s.mode = 2 AND e.p <> '' AND NOT startswith(e.p, '{sep}'))
-                 OR (NOT e.last AND e.p <> '' AND NOT endswith(e.p, '{sep}'))) END,
+                 OR (NOT {last} AND e.p <> '' AND NOT endswith(e.p, '{sep}')),
+          'n', s.n) END,
       s -> named_struct('f', concat(s.f, array(s.cur)), 'bad', s.bad))"""
     return f"""CASE WHEN {line} IS NULL THEN named_struct('f', cast(array() as array<string>), 'bad', false)
       WHEN instr({line}, '"') = 0 THEN named_struct('f', {split}, 'bad', false) ELSE {fold} END"""
