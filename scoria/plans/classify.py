@@ -123,7 +123,7 @@ def _(spark, sf):
 def _(spark, sf):
     good, _ = split_rejects(table(spark, sf, "gnis_lines"))
     f = F.col("fields")
-    g = typed_gnis(good).filter(~F.col("raw_line").contains('"') & c.in_envelope(F.col("lon"), F.col("lat")))
+    g = typed_gnis(good).filter(c.in_envelope(F.col("lon"), F.col("lat")))
     kind = c.lookup(f["feature_class"], c.GNIS_KIND)
     g = g.filter(kind.isNotNull() & (f["feature_name"] != "") & ~F.lower(f["feature_name"]).contains("(historical)"))
     return g.select("line_id", f["feature_name"].alias("name"), kind.alias("kind"), c.lookup(f["feature_class"], c.GNIS_ZOOM).alias("min_zoom"))
