@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import usable
 from ..operators import grid, match, raster, sieve
 from ..session import table
-from .ledger import _DEM, _dem
+from .ledger import _DEM, _dem, _top
 from .match import _M, _OK
 from .registry import query
 
@@ -126,8 +126,9 @@ def _(spark, sf):
 @query("q09_dem_audit", f"with d as (select id, count(*) filter (v > 0) as n from ({_DEM}) group by 1) select p_partkey % 100 as cell, n >= 20 as covered, count(*) as labels from part join d on d.id = p_partkey % 100 group by 1, 2")
 def _(spark, sf):
     d = _dem(spark, sf).groupBy("id").agg(F.count_if(F.col("v") > 0).alias("n"))
-    p = table(spark, sf, "part").select((F.col("p_partkey") % 100).alias("id"))
-    return p.join(d, "id").groupBy(F.col("id").alias("cell"), (F.col("n") >= 20).alias("covered")).agg(F.count("*").alias("labels"))
+    p = table(spark, sf, "part").select((F.col("p_partkey") % _top(spark, sf, "embeddings", "vec_id")).alias("id"))
+    covered = F.coalesce(F.col("n") >= 20, F.lit(False))  # a missing block covers nothing
+    return p.join(d, "id", "left").groupBy(F.col("id").alias("cell"), covered.alias("covered")).agg(F.count("*").alias("labels"))
 
 
 @query("q13_seams", f"with d as ({_DEM}) select a.id, count(*) filter (a.v // 100 = b.v // 100) as same from d a join d b on b.id = a.id + 1 and a.r = b.r where a.c = 7 and b.c = 0 and a.v >= 0 and b.v >= 0 group by 1")

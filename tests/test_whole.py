@@ -40,3 +40,20 @@ def test_gazetteer_whole(spark):
       and name <> '' and not contains(lower(name), '(historical)') and lon between -180 and 180 and (lon <= -60 or lon >= 170) and lat between 18 and 72"""
     got = run(spark, "p19_gazetteer_points", SF).select("line_id", "name", "kind", "min_zoom").collect()
     assert sorted(map(tuple, got)) == sorted(duck(sql, "gnis_lines"))
+
+
+def test_chunks_of_a_wide_grid(spark, tmp_path):
+    spark.createDataFrame([(0,), (2499,), (2500,), (3000,)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted(map(tuple, run(spark, "r02_chunks", tmp_path).collect()))
+    assert got == [(0, 0, 1024), (2499, 2, 953), (2500, 2, 953), (3000, 2, 953)]
+
+
+def test_audits_reach_every_block(spark, tmp_path):
+    blocks = [(i, [i / 1000.0 if i != 7 else -1.0] * 64) for i in range(130) if i != 5]
+    spark.createDataFrame(blocks, "vec_id bigint, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(i, i % 50) for i in range(260)], "p_partkey bigint, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    value = {5: None, 7: -1000}
+    got = dict(map(tuple, run(spark, "j31_cell_audit", tmp_path).collect()))
+    assert got == {i: value.get(i % 130, i % 130) for i in range(260)}
+    got = {r.cell: (r.covered, r.labels) for r in run(spark, "q09_dem_audit", tmp_path).collect()}
+    assert got == {i: (i not in (0, 5, 7), 2) for i in range(130)}
