@@ -139,17 +139,33 @@ def _(spark, sf):
     return d.select("kind", F.round(g("Area", F.col("shape")), 6).alias("area"), F.size(g("Polygons", F.col("shape"))).alias("parts"))
 
 
+def _named_pairs(spark, sf, reach):
+    """Pairs of lines of one row and name, a's agency before b's, at most `reach` apart along x; each pair once.
+
+    Rows lie 80 apart at least. Cells of 300 along x are no shorter than a line: a pair meets in the cell where its common stretch starts.
+    """
+    s = _seg(spark, sf).withColumn("row", F.floor(F.col("y") / 100)).withColumn("name", F.col("l_partkey") % 8)
+
+    def side(n, grow):
+        cells = F.explode(F.sequence(F.floor((F.col("x0") - grow) / 300), F.floor((F.col("x1") + grow) / 300)))
+        return s.select("row", "name", cells.alias("cell"), *(F.col(c).alias(f"{c}_{n}") for c in ("id", "a", "x0", "x1", "y", "shape")))
+
+    start = F.greatest(F.col("x0_a"), F.col("x0_b") - reach)
+    j = side("a", 0).join(side("b", reach), ["row", "name", "cell"]).filter("a_a < a_b")
+    return j.filter((start <= F.least(F.col("x1_a"), F.col("x1_b") + reach)) & (F.col("cell") == F.floor(start / 300)))
+
+
 _NEARBY = f"with s as ({_SEG}), a as (select * from s where a = 0), b as (select * from s where a = 1) select a.id as id_a, b.id as id_b, least(a.x1, b.x1) - greatest(a.x0, b.x0) as shared from a join b on a.y // 100 = b.y // 100 and abs(a.y - b.y) <= 8 and least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 100 and a.l_partkey % 8 = b.l_partkey % 8"
 
 
 @query("j25_named_overlap", _NEARBY + " where (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * 2 >= least(a.x1 - a.x0, b.x1 - b.x0)")
 def _(spark, sf):
-    s = _seg(spark, sf).withColumn("row", F.floor(F.col("y") / 100)).withColumn("name", F.col("l_partkey") % 8)
-    side = lambda k, n: s.filter(F.col("a") == k).select("row", "name", *(F.col(c).alias(f"{c}_{n}") for c in ("id", "x0", "x1", "y", "shape")))
-    j = side(0, "a").join(side(1, "b"), ["row", "name"]).filter("least(x1_a, x1_b) - greatest(x0_a, x0_b) >= 100 and abs(y_a - y_b) <= 15")
-    near = g("Intersection", F.col("shape_a"), box(F.col("x0_b"), F.col("y_b") - 8, F.col("x1_b"), F.col("y_b") + 8))
-    j = j.withColumn("shared", _round(g("Length", near), 1))
-    return j.filter("shared >= 100 and shared * 2 >= least(x1_a - x0_a, x1_b - x0_b)").select(F.col("id_a"), F.col("id_b"), "shared")
+    """Lines of one name and of different agencies that lie within 50 m of each other, ends cut flat, for 100 m and half the shorter."""
+    j = _named_pairs(spark, sf, 0).filter("least(x1_a, x1_b) - greatest(x0_a, x0_b) >= 100 and abs(y_a - y_b) <= 50")
+    c = F.col
+    near = lambda p, q: g("Length", g("Intersection", c(f"shape_{p}"), box(c(f"x0_{q}"), c(f"y_{q}") - 50, c(f"x1_{q}"), c(f"y_{q}") + 50)))
+    j = j.withColumn("shared", _round(F.least(near("a", "b"), near("b", "a")), 1))
+    return j.filter("shared >= 100 and shared * 2 >= least(x1_a - x0_a, x1_b - x0_b)").select("id_a", "id_b", "shared")
 
 
 @query("j12_site_distance", "select f.id, a.area_id from (select distinct id, lon, lat from facilities where lon between -180 and 180 and lat between -90 and 90 and not (lon = 0 and lat = 0)) f join areas a on sqrt(pow(greatest(0, a.west - f.lon, f.lon - a.east), 2) + pow(greatest(0, a.south - f.lat, f.lat - a.north), 2)) <= 0.05")

@@ -57,3 +57,16 @@ def test_audits_reach_every_block(spark, tmp_path):
     assert got == {i: value.get(i % 130, i % 130) for i in range(260)}
     got = {r.cell: (r.covered, r.labels) for r in run(spark, "q09_dem_audit", tmp_path).collect()}
     assert got == {i: (i not in (0, 5, 7), 2) for i in range(130)}
+
+
+NAMED = """with s as (select l_orderkey * 100 + l_linenumber as id, l_linenumber % 3 as a, (l_partkey % 500) * 10 as x0, (l_partkey % 500) * 10 + 50 + cast(l_quantity as bigint) * 5 as x1,
+  (l_orderkey % 200) * 100 + (l_linenumber * 7) % 20 as y, l_partkey % 8 as name from lineitem)
+  select a.id, b.id, a.x0, a.x1, a.y, b.x0, b.x1, b.y from s a join s b on a.name = b.name and a.y // 100 = b.y // 100 and a.a < b.a and abs(a.y - b.y) <= 50"""
+
+
+@tables
+def test_overlap_of_all_agencies(spark):
+    shared = "least(a.x1, b.x1) - greatest(a.x0, b.x0)"
+    sql = f"{NAMED} and {shared} >= 100 and ({shared}) * 2 >= least(a.x1 - a.x0, b.x1 - b.x0)"
+    want = sorted((a, b, min(p1, q1) - max(p0, q0)) for a, b, p0, p1, _, q0, q1, _ in duck(sql, "lineitem"))
+    assert sorted(map(tuple, run(spark, "j25_named_overlap", SF).collect())) == want
