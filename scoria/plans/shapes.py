@@ -183,10 +183,11 @@ def _(spark, sf):
 
 @query("agg22_coverage", f"with s as ({_SEG}), a as (select * from s where a = 0), b as (select * from s where a = 2) select a.id as id_a, b.id as id_b, least(a.x1, b.x1) - greatest(a.x0, b.x0) as within from a join b on a.y // 100 = b.y // 100 and abs(a.y - b.y) <= 15 and a.l_partkey % 8 = b.l_partkey % 8 and b.x0 <= a.x0 and b.x1 >= a.x1")
 def _(spark, sf):
-    s = _seg(spark, sf).withColumn("name", F.col("l_partkey") % 8).withColumn("row", F.floor(F.col("y") / 100))
-    side = lambda k, n: s.filter(F.col("a") == k).select("row", "name", *(F.col(c).alias(f"{c}_{n}") for c in ("id", "x0", "x1", "y", "shape")))
-    j = side(0, "a").join(side(2, "b"), ["row", "name"]).filter("x0_b <= x0_a and x1_b >= x1_a and abs(y_a - y_b) <= 15")
-    return j.select("id_a", "id_b", _round(g("WithinLength", F.col("shape_a"), F.col("shape_b"), 20.0), 1).alias("within"))
+    """Fraction of each line of a pair of agencies that lies within 15, 30 and 50 m of the other, for pairs that come that near."""
+    j = _named_pairs(spark, sf, 50).filter(g("Distance", F.col("shape_a"), F.col("shape_b")) < 50)
+    part = lambda p, q, d: F.round(g("WithinLength", F.col(f"shape_{p}"), F.col(f"shape_{q}"), float(d)) / F.greatest(g("Length", F.col(f"shape_{p}")), F.lit(1.0)), 3)
+    cover = [part(p, q, d).alias(f"{p}{d}") for p, q in ("ab", "ba") for d in (15, 30, 50)]
+    return j.select("id_a", "id_b", *cover)
 
 
 @query("c09_conflate")

@@ -1,6 +1,7 @@
 """Queries that do their whole job where their SQL does a part of it."""
 
 import os
+from collections import defaultdict
 
 import duckdb
 import pytest
@@ -70,3 +71,22 @@ def test_overlap_of_all_agencies(spark):
     sql = f"{NAMED} and {shared} >= 100 and ({shared}) * 2 >= least(a.x1 - a.x0, b.x1 - b.x0)"
     want = sorted((a, b, min(p1, q1) - max(p0, q0)) for a, b, p0, p1, _, q0, q1, _ in duck(sql, "lineitem"))
     assert sorted(map(tuple, run(spark, "j25_named_overlap", SF).collect())) == want
+
+
+@tables
+def test_coverage_both_ways(spark):
+    got = defaultdict(list)  # ids are repeated in lineitem
+    for r in run(spark, "agg22_coverage", SF).select("id_a", "id_b", *(f"{p}{d}" for p in "ab" for d in (15, 30, 50))).collect():
+        got[tuple(r)[:2]].append(tuple(r)[2:])
+    for a, b, p0, p1, py, q0, q1, qy in duck(f"{NAMED} and a.x0 <= b.x1 + 50 and b.x0 <= a.x1 + 50", "lineitem"):
+        if max(0, p0 - q1, q0 - p1) ** 2 + (py - qy) ** 2 >= 2500:
+            continue
+        want = []
+        for lo, hi, other0, other1 in ((p0, p1, q0, q1), (q0, q1, p0, p1)):
+            for d in (15, 30, 50):
+                reach = (d * d - (py - qy) ** 2) ** 0.5 if d >= abs(py - qy) else None
+                want.append(0 if reach is None else max(0, min(hi, other1 + reach) - max(lo, other0 - reach)) / (hi - lo))
+        same = [h for h in got[a, b] if max(abs(x - y) for x, y in zip(h, want)) < 0.006]  # round ends are polygons
+        assert same, (a, b, want, got[a, b])
+        got[a, b].remove(same[0])
+    assert not any(got.values())
