@@ -55,3 +55,10 @@ def minute_limited(requests: DataFrame, limit: int) -> DataFrame:
     """Requests with `allowed`: at most limit in a minute of each role, in order of arrival."""
     w = Window.partitionBy("role", F.date_trunc("minute", "ts")).orderBy("ts", "id")
     return requests.withColumn("allowed", F.row_number().over(w) <= limit)
+
+
+def differing(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(differing): rows, as JSON with columns by name, that either table has more often than the other."""
+    rows = lambda df: df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("row"))
+    a, b = rows(a), rows(b)
+    return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differing"))

@@ -369,8 +369,10 @@ def _(spark, sf):
 
 @query("q11_equivalence", "select count(*) as differing from (select id, kind from features except all select id, kind from (select id, kind, row_number() over (order by id, kind) as rn from features))")
 def _(spark, sf):
+    """Rows of each id and kind, counted by an aggregate and by a window; compared both ways."""
     f = table(spark, sf, "features").select("id", "kind")
-    return f.exceptAll(f.repartition("kind").select("id", "kind")).agg(F.count("*").alias("differing"))
+    counted = f.withColumn("n", F.count("*").over(Window.partitionBy("id", "kind"))).distinct()
+    return ledger.differing(f.groupBy("id", "kind").agg(F.count("*").alias("n")), counted)
 
 
 @query("q12_forecast", f"with t as ({_TASKS}) select source, cast(ceil(count(*) filter (status <> 'done') * 1000.0 / count(*) filter (status = 'done')) as bigint) as left1000 from t group by 1")

@@ -8,6 +8,7 @@ import pytest
 
 from scoria import plans
 from scoria.operators import classify as c
+from scoria.operators import ledger
 from scoria.plans.classify import _case
 from scoria.plans.problems import _LINES
 
@@ -90,3 +91,9 @@ def test_coverage_both_ways(spark):
         assert same, (a, b, want, got[a, b])
         got[a, b].remove(same[0])
     assert not any(got.values())
+
+
+def test_equivalence_both_ways(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "id int, k string")
+    more = spark.createDataFrame([(1, "x"), (2, None), (2, None), (3, "y")], "id int, k string")
+    assert [ledger.differing(*x).first()[0] for x in ((a, a), (a, more), (more, a), (a, a.distinct()))] == [0, 1, 1, 1]
