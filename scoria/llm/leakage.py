@@ -1,194 +1,54 @@
 """Evaluation texts leaking into training text (problem 7).
 
 Spaced-seed hashing: fixed masks pick some of the next words and ignore the others, so a
-changed word spoils few hashes. The hashes of all test passages make one index; every
-document's hashes are looked up in it, and each document and item that meet in several places
-are compared by a substitution-tolerant local alignment of their words.
-
-The index holds the seeds with a word that few items have, and, wherever a stretch of an item
-would be left with too few of those, its other seeds too: so no stretch that counts is
-without seeds, and sentences that many items share do not meet everything. The test items are
-taken in blocks of a bounded number of words; the corpus is read once a block and never shuffled.
+changed word spoils few hashes. The hashes of all test passages are one table. Each
+document is hashed once, in the JVM, and keeps the hashes that a Bloom filter of that
+table lets pass; these are joined with the table, and each document and item that meet
+are compared by a substitution-tolerant local alignment around the places where they met.
+
+The table holds the seeds with a word that few items have, and, wherever a stretch of an item
+would be left with too few of those, its other seeds too: no stretch that counts is
+without seeds, and sentences that many items share do not meet everything. Items whose
+stretches are shorter than the longest mask get shorter masks, down to single words. The
+corpus is read once, whatever the number of items.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .placenames import fold
+from ..session import small, store
+from .jvm import bit_set, register, t
 
-MASKS = ("11101", "110101", "1100101", "1010011")
 LEAST_SHARE = 0.4
-#: Items that may share a word for it to count as rare; seeds wanted in every stretch; meetings before comparing.
-RARE_ITEMS, SEEDS_A_STRETCH, MEETINGS = 3, 12, 4
-#: Words of test items in one block; the index of a block has at most four entries a word.
-BLOCK_WORDS = 2_000_000
+#: Masks by the least number of words of a stretch that they are for.
+MASKS = {7: "11101,110101,1100101,1010011", 3: "11,101", 1: "1"}
+#: Items that may share a word for it to count as rare; seeds wanted in every stretch.
+RARE_ITEMS, SEEDS_A_STRETCH = 3, 12
 #: Of the weight of a stretch, what must be found in order; and cost of a foreign word inside, in mean weights.
 LEAST_WEIGHT, FOREIGN = 0.78, 0.1
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-
-
-def words(text: str) -> list[str]:
-    """Lower-case words and numbers without accents."""
-    return re.findall(r"[^\W_]+", fold(text))
-
-
-def _seed_hashes(ids: np.ndarray, mask: str, number: int) -> np.ndarray:
-    """One hash for each start; 0 where a picked word is not of the index's vocabulary."""
-    n = len(ids) - len(mask) + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    h, known = np.full(n, number + 1, np.uint64), np.ones(n, bool)
-    for k, c in enumerate(mask):
-        if c == "1":
-            part = ids[k : k + n]
-            h = (h ^ part) * _MIX
-            h ^= h >> np.uint64(29)
-            known &= part != 0
-    return np.where(known, h | np.uint64(1), np.uint64(0))
-
-
-class SeedIndex:
-    """Seeds of a block of test items, and what is needed to compare documents with them."""
-
-    def __init__(self, items: list[tuple[int, list[str]]]):
-        self.items = [i for i, _ in items]
-        self.passages = [p for _, p in items]
-        held = Counter(w for p in self.passages for w in set(p))
-        self.ids = {w: n for n, w in enumerate(held, 1)}
-        weight = {w: np.log((len(items) + 1) / n) + 0.1 for w, n in held.items()}
-        self.weights = [np.array([weight[w] for w in p]) for p in self.passages]
-        rare = np.array([False] + [held[w] <= RARE_ITEMS for w in held])
-        keys, owners = [], []
-        seeds = []  # of each item: (hash, start, has a rare word) by mask
-        spread: dict[int, set[int]] = defaultdict(set)
-        for at, p in enumerate(self.passages):
-            ids = np.array([self.ids[w] for w in p], np.uint64)
-            mine = []
-            for number, mask in enumerate(MASKS):
-                h = _seed_hashes(ids, mask, number)
-                off = [k for k, c in enumerate(mask) if c == "1"]
-                few = np.zeros(len(h), bool)
-                for k in off:
-                    few |= rare[ids[k : k + len(h)].astype(int)]
-                mine += list(zip(h.tolist(), range(len(h)), few.tolist()))
-            seeds.append(mine)
-            for h, _, _ in mine:
-                spread[h].add(at)
-        for at, (p, mine) in enumerate(zip(self.passages, seeds)):
-            need = int(np.ceil(LEAST_SHARE * len(p)))
-            kept = np.zeros(len(p) + 1, int)
-            chosen = [x for x in mine if x[2]]
-            for _, start, _ in chosen:
-                kept[start] += 1
-            rest = sorted((x for x in mine if not x[2]), key=lambda x: (len(spread[x[0]]), x[1]))
-            inside = max(1, need - max(map(len, MASKS)) + 1)  # starts of seeds that lie within a stretch
-            for h, start, few in rest:
-                lo = max(0, start - inside + 1)
-                sums = np.convolve(kept[lo : start + inside], np.ones(inside, int), "valid") if len(kept[lo : start + inside]) >= inside else kept[lo : start + inside].sum(keepdims=True)
-                if sums.min() < SEEDS_A_STRETCH:
-                    chosen.append((h, start, few))
-                    kept[start] += 1
-            for h, _, _ in chosen:
-                keys.append(h)
-                owners.append(at)
-        order = np.argsort(np.array(keys, np.uint64), kind="stable")
-        self.keys, self.owners = np.array(keys, np.uint64)[order], np.array(owners, np.int32)[order]
-        # A repeated passage or phrase may own one seed several times.
-        if len(self.keys):
-            new = np.ones(len(self.keys), bool)
-            new[1:] = (self.keys[1:] != self.keys[:-1]) | (self.owners[1:] != self.owners[:-1])
-            self.keys, self.owners = self.keys[new], self.owners[new]
-
-    def meetings(self, docs: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
-        """(document, item, first word, last word) where enough distinct seeds of an item occur in a document.
-
-        The documents lie end to end with a gap of unknown words between, so that one pass hashes them all.
-        """
-        gap = np.zeros(max(map(len, MASKS)), np.uint64)
-        ids = np.concatenate([x for d in docs for x in (d, gap)]) if docs else gap
-        starts = np.cumsum([0] + [len(d) + len(gap) for d in docs])
-        parts = []
-        for number, mask in enumerate(MASKS):
-            h = _seed_hashes(ids, mask, number)
-            at = np.flatnonzero(h)
-            h = h[at]
-            lo = np.searchsorted(self.keys, h)
-            hit = lo < len(self.keys)
-            hit[hit] = self.keys[lo[hit]] == h[hit]
-            lo, at, h = lo[hit], at[hit], h[hit]
-            n = np.searchsorted(self.keys, h, "right") - lo
-            entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            parts.append((entry, np.repeat(at, n)))
-        entry, at = (np.concatenate(x) for x in zip(*parts))
-        if not len(entry):
-            return []
-        doc = np.searchsorted(starts, at, "right") - 1
-        pair = doc * len(self.items) + self.owners[entry]
-        order = np.argsort(pair, kind="stable")
-        pair, entry, at = pair[order], entry[order], at[order]
-        edges = np.concatenate([[0], np.flatnonzero(pair[1:] != pair[:-1]) + 1, [len(pair)]])
-        out = []
-        for a, b in zip(edges[:-1], edges[1:]):
-            if b - a >= MEETINGS and len(np.unique(entry[a:b])) >= MEETINGS:
-                d, item = divmod(int(pair[a]), len(self.items))
-                out.append((d, item, int(at[a:b].min() - starts[d]), int(at[a:b].max() - starts[d])))
-        return out
-
-    def share(self, item: int, ids: np.ndarray) -> tuple[float, float]:
-        """Of the best stretch found in order in a document: share of the passage's words, share of weight found."""
-        p, w = self.passages[item], self.weights[item]
-        mean, n = float(w.mean()), len(ids)
-        at = np.arange(n + 1)
-        score, first, matched = np.zeros(n + 1), np.zeros(n + 1, int), np.zeros(n + 1)
-        best = (0.0, 0, -1, 0.0)
-        for i, word in enumerate(p):
-            same = ids == self.ids[word]
-            lost = 0.6 * w[i] + 0.1 * mean
-            diagonal = np.full(n + 1, -1e9)
-            diagonal[1:] = score[:-1] + np.where(same, w[i], -lost)
-            fresh = score[:-1] <= 0
-            first_d, matched_d = np.full(n + 1, i), np.zeros(n + 1)
-            first_d[1:] = np.where(fresh, i, first[:-1])
-            matched_d[1:] = np.where(fresh, 0, matched[:-1]) + np.where(same, w[i], 0)
-            use = diagonal >= score - lost
-            score, first, matched = np.where(use, diagonal, score - lost), np.where(use, first_d, first), np.where(use, matched_d, matched)
-            # Foreign words inside: the best earlier place, less their cost.
-            level = score + FOREIGN * mean * at
-            top = np.maximum.accumulate(level)
-            src = np.maximum.accumulate(np.where(level >= top, at, 0))
-            score, first, matched = np.maximum(top - FOREIGN * mean * at, 0), first[src], matched[src]
-            j = int(score.argmax())
-            if score[j] > best[0]:
-                best = (float(score[j]), int(first[j]), i, float(matched[j]))
-        _, a, b, got = best
-        return ((b - a + 1) / len(p), got / float(w[a : b + 1].sum())) if b >= a else (0.0, 0.0)
-
-
-def _scan(index: SeedIndex):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for k in range(0, len(pdf), 128):
-                part = pdf.iloc[k : k + 128]
-                names = part["doc"].to_numpy()
-                docs = [np.array([index.ids.get(x, 0) for x in words(t)], np.uint64) for t in part["text"]]
-                rows = []
-                for d, item, lo, hi in index.meetings(docs):
-                    # A stretch reaches at most a passage beyond its seeds, and as much again for words put in between.
-                    reach = 2 * len(index.passages[item])
-                    share, weight = index.share(item, docs[d][max(0, lo - reach) : hi + reach])
-                    if share >= LEAST_SHARE - 0.01 and weight >= LEAST_WEIGHT:  # a word's play at the ends
-                        rows.append((names[d], index.items[item], share))
-                yield pd.DataFrame(rows, columns=["doc", "item", "share"]).astype({"item": "int64", "share": "float64"})
-
-    return run
+#: Size of the Bloom filter, as a power of two of bits, beyond which it only lets more hashes pass (16 MB).
+FILTER_BITS = 27
+
+
+def passages(items: DataFrame, item_id: str) -> DataFrame:
+    """(item, p, ids, weights, seeds): each distinct passage with its words' hashes and weights, and its seeds."""
+    p = items.select(F.col(item_id).cast("long").alias("item"), "passage").filter("item is not null and passage is not null").distinct()
+    p = p.select("item", F.xxhash64("item", "passage").alias("p"), t("WordIds", F.col("passage")).alias("ids")).filter(F.size("ids") > 0)
+    words = p.select("p", F.posexplode("ids").alias("i", "w"))
+    held = words.groupBy("w").agg(F.countDistinct("p").alias("held"))
+    by = words.join(held, "w").groupBy("p").agg(F.array_sort(F.collect_list(F.struct("i", "held"))).alias("x"))
+    by = by.select("p", F.transform("x", lambda v: v["held"]).alias("held"))
+    rows = p.count()
+    need = F.ceil(F.size("ids") * F.lit(LEAST_SHARE)).cast("int")
+    mask = F.lit(MASKS[1])
+    for least in sorted(MASKS)[1:]:
+        mask = F.when(need >= least, MASKS[least]).otherwise(mask)
+    # Items with short stretches have few seeds, and all of them count.
+    wanted = F.when(need >= max(MASKS), F.lit(SEEDS_A_STRETCH)).otherwise(F.lit(1 << 30))
+    seeds = t("Choose", F.col("ids"), F.col("held"), mask, need, F.lit(RARE_ITEMS), wanted)
+    return p.join(by, "p").select("item", "p", "ids", F.transform("held", lambda k: F.log(F.lit(rows + 1.0) / k) + 0.1).alias("weights"), mask.alias("masks"), seeds.alias("seeds"))
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
@@ -197,25 +57,27 @@ def find_leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", i
     `documents` has `text` and its id, `items` a `passage` and a whole-number id; other
     columns are not read. A document is concerned if it holds at least LEAST_SHARE of an
     item's words in one stretch, in order, where case, accents, punctuation, a changed word here and
-    there or words put in between do not matter. Whole texts are read. Null and empty texts and passages,
-    and passages shorter than a seed, are in no case; repeated rows give a case once.
+    there or words put in between do not matter; of an item of one or two words, one word is enough. Whole
+    texts are read. Null ids, null and empty texts and passages, and texts without a word are in no case;
+    repeated rows give a case once, an id with several texts or passages is in a case if one of them is.
     """
-    kind = documents.schema[doc_id].dataType.simpleString()
-    docs = documents.select(F.col(doc_id).alias("doc"), "text").filter(F.col("text").isNotNull())
-    # The test items are the stated query set; they pass through the driver block by block.
-    rows = items.select(F.col(item_id).cast("long"), "passage").filter(F.col("passage").isNotNull()).distinct()
-    blocks, block, size = [], [], 0
-    for item, passage in rows.toLocalIterator():
-        block.append((item, words(passage)))
-        size += len(block[-1][1])
-        if size >= BLOCK_WORDS:
-            blocks.append(block)
-            block, size = [], 0
-    blocks.append(block)
-    schema = f"doc {kind}, item long, share double"
-    out = None
-    for block in blocks:
-        index = SeedIndex(sorted(b for b in block if len(b[1]) >= max(map(len, MASKS))))
-        part = docs.mapInPandas(_scan(index), schema)
-        out = part if out is None else out.unionByName(part)
-    return out.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("share").alias("share"))
+    spark = documents.sparkSession
+    register(spark)
+    kind = documents.schema[doc_id].dataType
+    docs = documents.select(F.col(doc_id).alias("doc"), "text").filter("doc is not null and text is not null")
+    index = store(passages(items, item_id))
+    seeds = index.select("p", F.explode("seeds").alias("h"))
+    masks = sorted({m for row in index.select("masks").distinct().collect() for m in row["masks"].split(",")})  # at most the masks above
+    if not masks:
+        return spark.createDataFrame([], f"{doc_id} {kind.simpleString()}, {item_id} bigint, share double")
+    bits = bit_set(seeds, "h", seeds.count(), FILTER_BITS)
+
+    met = docs.withColumn("hits", t("Hits", F.col("text"), F.lit(bits), ",".join(masks))).filter(F.size("hits") > 0)
+    met = store(met.withColumn("row", F.monotonically_increasing_id()))
+    places = met.select("row", F.inline("hits")).join(small(seeds), "h").groupBy("row", "p").agg(F.collect_set("at").alias("at"))
+    places = small(store(places))
+    around = met.select("row", "doc", "text").join(places, "row").join(small(index.select("p", "item", "ids", "weights")), "p")
+    out = around.select("doc", "item", t("Stretch", F.col("text"), F.col("at"), F.col("ids"), F.col("weights"), F.lit(FOREIGN)).alias("s"))
+    # A word's play at the ends.
+    out = out.filter((F.col("s.share") >= LEAST_SHARE - 0.01) & (F.col("s.weight") >= LEAST_WEIGHT))
+    return out.groupBy(F.col("doc").alias(doc_id), F.col("item").alias(item_id)).agg(F.max("s.share").alias("share"))

@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from scoria.llm.leakage import SeedIndex, find_leaks, words
+from scoria.llm.leakage import find_leaks
 from scoria.llm.packing import Windows, encoding, pack
 from scoria.llm.subjects import label_subjects, sentences, train
 
@@ -88,16 +88,40 @@ def test_leaks_found(spark, leaks):
     assert find_leaks(d.limit(0), i).count() == 0 and find_leaks(d, i.limit(0)).count() == 0
 
 
-def test_every_stretch_has_seeds():
+def test_every_stretch_has_seeds(spark):
     """Items that share all their words, even whole passages, can still be found."""
     r = random.Random(5)
     same = [" ".join(r.choices("abcdefgh", k=60)) for _ in range(3)]
-    index = SeedIndex([(k, words(same[k % 3])) for k in range(30)])
-    for k in range(30):
-        p = words(same[k % 3])
-        for a in range(len(p) - 24):
-            ids = np.array([index.ids[w] for w in p[a : a + 24]], np.uint64)
-            assert k in {item for _, item, _, _ in index.meetings([ids])}
+    items = spark.createDataFrame([(k, same[k % 3]) for k in range(30)], "item_id bigint, passage string")
+    docs = [(100 * k + a, " ".join(same[k].split()[a : a + 24])) for k in range(3) for a in range(37)]
+    got = {tuple(x) for x in find_leaks(spark.createDataFrame(docs, DOCS), items).select("doc_id", "item_id").collect()}
+    assert {(d, k) for d, _ in docs for k in range(30) if k % 3 == d // 100} <= got
+
+
+def test_short_items_and_stretches(spark):
+    """Items and stretches shorter than the longest mask: two fifths in one run are found, less are not."""
+    items = [(1, "six whole words make this item"), (2, "alpha beta gamma delta eps zeta eta theta"), (3, " ".join(f"n{i}" for i in range(15))), (4, "lone"), (5, "two words")]
+    docs = [
+        (1, "so: Six WHOLE words, make this item!"), (2, "x alpha beta gamma delta y"), (3, "x beta gamma y z theta"), (4, " ".join(f"n{i}" for i in range(4, 10)) + " end"),
+        (5, "n1 n2 n3 n4 n5 and so on"), (6, "a lone wolf"), (7, "aloneness"), (8, "only two here"), (9, "six other words"),
+    ]
+    i = spark.createDataFrame(items, "item_id bigint, passage string")
+    got = {tuple(x) for x in find_leaks(spark.createDataFrame(docs, DOCS), i).select("doc_id", "item_id").collect()}
+    assert got == {(1, 1), (1, 5), (2, 2), (4, 3), (6, 4), (8, 5), (9, 5)}  # of two words, one is half
+
+
+def test_any_stretch_of_two_fifths(spark):
+    """Every start and length of a quotation of two fifths or more, by brute force; items of all lengths."""
+    r, docs, want = random.Random(8), [], set()
+    items = [(n, [f"v{n}x{i}" if r.random() < 0.4 else r.choice("abcdefghij") for i in range(n)]) for n in range(3, 60)]
+    for n, p in items:
+        need = -(-2 * n // 5)
+        for a in range(0, n - need + 1, max(1, n // 9)):
+            docs.append((len(docs), " ".join(["q", "r"] + p[a : a + need] + ["s"])))
+            want.add((docs[-1][0], n))
+    i = spark.createDataFrame([(n, " ".join(p)) for n, p in items], "item_id bigint, passage string")
+    got = {tuple(x) for x in find_leaks(spark.createDataFrame(docs, DOCS), i).select("doc_id", "item_id").collect()}
+    assert want <= got
 
 
 def test_sentences():
