@@ -12,6 +12,9 @@ JAR = os.path.join(os.path.dirname(os.path.abspath(__file__)), "texts.jar")
 FUNCTIONS = {
     "WordIds": ("Leaks", "array<bigint>"), "Choose": ("Leaks", "array<bigint>"), "Hits": ("Leaks", "array<struct<h:bigint,at:int>>"), "Probes": ("Leaks", "array<bigint>"),
     "Stretch": ("Leaks", "struct<share:double,weight:double>"),
+    "NameFamily": ("NameUdfs", "int"), "NameWords": ("NameUdfs", "array<string>"), "NameGrams": ("NameUdfs", "array<int>"), "NamePrefix": ("NameUdfs", "array<int>"),
+    "NameAlike": ("NameUdfs", "double"), "WordHash": ("NameUdfs", "bigint"),
+    "NameText": ("NameUdfs", "string"), "KeyBits": ("NameUdfs", "bigint"), "KindBits": ("NameUdfs", "bigint"), "MarkBits": ("NameUdfs", "bigint"), "PlaceBits": ("NameUdfs", "bigint"),
 }
 
 

@@ -1,106 +1,92 @@
 """Matching entities of two sources without keys (problem 5).
 
-Each record's attributes become fixed bit vectors of their q-grams: 64 bits for the own
-word of the name, and short vectors for its kind, its marks and its place on the map. Close pairs are
-found exactly by multi-index Hamming hashing: of CHUNKS chunks of the name's vector, two
-records at Hamming distance below CHUNKS agree in at least one, so (map cell, chunk
-number, chunk) is the join key, and a pair is taken at its first common chunk only. The
-Dice scores of the fields, weighted, give a score, and the score a confidence: scores are
-set against those of pairs from a ring farther off, where nothing matches any more.
+Each record's attributes become fixed bit vectors: the q-grams of its name's key, those of
+its kind, those of the words that tell places of one name apart, and half rings of bits for
+its place. Close pairs are found exactly by multi-index Hamming hashing: of CHUNKS
+chunks of the key's vector, two records at Hamming distance below CHUNKS agree in at least
+one, so (map cell, chunk number, chunk) is the join key, and a pair is taken at its
+first common chunk only. The Dice scores of the fields, weighted, give a score, and the
+score a confidence: scores are set against those that chance gives, known from pairs of a
+ring farther off, where nothing matches any more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, usable
-from ..session import store
-from .placenames import parts, same_family, words_of_key
-from .strings import edit_ratios
-from .variants import CELL, CLOSE_RATIO, NEAR_M, NEAR_RATIO, _apart, _cell_key, _lon_cell, bit_vector, gram_codes, marks_text
+from ..session import small, store
+from .jvm import register, t
+from .variants import BLOCK, LEAST, _cell_key, _lon_cell, word_rarity
 
 REACH_M = 700.0
 RING_M = 1400.0
+CELL = 0.1  # degrees of latitude
 CHUNKS = 9
 BITS = 7
 WEIGHTS = {"name": 0.6, "kind": 0.15, "marks": 0.1, "place": 0.15}
 BINS = 50
+#: Bits of a place's half ring on each axis; a unit of it in metres.
+HALF = 32
+UNIT_M = REACH_M / HALF
+EARTH_M = 6_371_008.8
 
 
 def _chunk(bits: Column, i: int) -> Column:
     return F.shiftrightunsigned(bits, BITS * i).bitwiseAND(F.lit((1 << BITS) - 1 if i < CHUNKS - 1 else (1 << (64 - BITS * i)) - 1))
 
 
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [parts(n if isinstance(n, str) else words_of_key(k)) for n, k in zip(pdf["name"], pdf["name_key"])]
-        pdf["core"] = [p.core for p in rows]
-        pdf["family"] = [p.family for p in rows]
-        pdf["marks"] = [marks_text(p) for p in rows]
-        pdf["bits"] = np.array([bit_vector(gram_codes(p.core)) for p in rows], np.int64)
-        yield pdf.drop(columns=["name", "name_key"])[pdf["core"] != ""]
+def dice(a: Column, b: Column) -> Column:
+    """Dice score of two bit vectors; two empty ones are alike."""
+    bits = F.bit_count(a) + F.bit_count(b)
+    return F.when(bits == 0, F.lit(1.0)).otherwise(2.0 * F.bit_count(a.bitwiseAND(b)) / bits)
 
 
-def _prepare(df: DataFrame) -> DataFrame:
-    r = df.select("id", "name", F.when(F.col("name").isNull(), F.col("name_key")).alias("name_key"), "kind", F.col("lon").cast("double"), F.col("lat").cast("double"))
-    r = r.filter(usable(F.col("lon"), F.col("lat")) & F.col("id").isNotNull() & F.coalesce("name", "name_key").isNotNull()).distinct()
-    r = r.mapInPandas(_parse, "id string, kind string, lon double, lat double, core string, family string, marks string, bits long")
-    return r.withColumn("rid", F.xxhash64("id", "core", "lon", "lat"))
+def _prepare(df: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): records alike in all attributes are one class (n, c, text, kind, lon, lat, bits); members are (c, id)."""
+    r = df.select("id", "name", "name_key", F.coalesce("kind", F.lit("")).alias("kind"), F.col("lon").cast("double"), F.col("lat").cast("double"))
+    r = r.filter(usable(F.col("lon"), F.col("lat")) & F.col("id").isNotNull() & F.coalesce("name", "name_key").isNotNull())
+    r = r.select("*", F.xxhash64("name", "name_key", "kind", "lon", "lat").alias("c"))
+    classes = r.groupBy("c", "name", "name_key", "kind", "lon", "lat").agg(F.count("*").alias("size"))
+    key, name = F.col("name_key"), F.col("name")
+    classes = classes.select("c", "kind", "lon", "lat", "size", t("NameText", key, name).alias("text"), t("KeyBits", key, name).alias("bits"))
+    return store(classes.filter(t("NameFamily", F.col("text")).isNotNull()).withColumn("n", F.monotonically_increasing_id())), r.select("c", "id").distinct()
 
 
 def _pairs(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
-    """(ra, rb) of rows in neighbouring cells whose name vectors differ in fewer than CHUNKS bits."""
-    keys = lambda bits: F.explode(F.array(*(F.struct(F.lit(i).alias("i"), (_chunk(bits, i) + i * 256).alias("v")) for i in range(CHUNKS))))
+    """(na, nb) of classes in neighbouring cells whose vectors differ in fewer than CHUNKS bits."""
+    keys = lambda bits: F.explode(F.array(*(_chunk(bits, i) + i * 256 for i in range(CHUNKS))))
     cy = F.floor(F.col("lat") / CELL).cast("int")
-    home = a.select("rid", "bits", _cell_key(_lon_cell(F.col("lon"), cy), cy).alias("cell"), keys(F.col("bits")).alias("k"))
+    home = a.select("n", "bits", _cell_key(_lon_cell(F.col("lon"), cy, CELL), cy).alias("cell"), keys(F.col("bits")).alias("v"))
     step = reach / 111_000
     visit = b.withColumn("y", F.explode(F.sequence(F.floor((F.col("lat") - step) / CELL).cast("int"), F.floor((F.col("lat") + step) / CELL).cast("int"))))
     wide = F.lit(step) / F.greatest(F.cos(F.radians(F.abs("lat") + 0.01)), F.lit(0.01))
-    visit = visit.withColumn("x", F.explode(F.sequence(_lon_cell(F.col("lon") - wide, F.col("y")), _lon_cell(F.col("lon") + wide, F.col("y")))))
-    visit = visit.select("rid", "bits", _cell_key(F.col("x"), F.col("y")).alias("cell"), keys(F.col("bits")).alias("k"))
-    h = home.select((F.col("cell") * 2 + F.col("k.v")).alias("k"), F.col("k.i").alias("i"), F.col("rid").alias("ra"), F.col("bits").alias("x"))
-    v = visit.select((F.col("cell") * 2 + F.col("k.v")).alias("k"), F.col("rid").alias("rb"), F.col("bits").alias("y"))
+    visit = visit.withColumn("x", F.explode(F.sequence(_lon_cell(F.col("lon") - wide, F.col("y"), CELL), _lon_cell(F.col("lon") + wide, F.col("y"), CELL))))
+    visit = visit.select("n", "bits", _cell_key(F.col("x"), F.col("y")).alias("cell"), keys(F.col("bits")).alias("v"))
+    h = home.select((F.col("cell") + F.col("v")).alias("k"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    v = visit.select((F.col("cell") + F.col("v")).alias("k"), F.col("n").alias("nb"), F.col("bits").alias("y"))
     differ = F.col("x").bitwiseXOR(F.col("y"))
     first = F.coalesce(*(F.when(_chunk(differ, i) == 0, i) for i in range(CHUNKS)))
-    return h.join(v, "k").filter((F.bit_count(differ) < CHUNKS) & (first == F.col("i"))).select("ra", "rb")
+    own = F.shiftright(F.col("k").bitwiseAND(F.lit(16383)), 8)
+    return h.join(v, "k").filter((F.bit_count(differ) < CHUNKS) & (first == own)).select("na", "nb")
 
 
-def _score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    w = WEIGHTS
-    for pdf in batches:
-        x, y = pdf["bits_a"].to_numpy(np.int64), pdf["bits_b"].to_numpy(np.int64)
-        count = lambda v: np.bitwise_count(v.view(np.uint64)).astype(float)
-        name = 2 * count(x & y) / np.maximum(1, count(x) + count(y))
-        apart = np.array([_apart(p, q) for p, q in zip(pdf["marks_a"], pdf["marks_b"])], bool)
-        family = np.array([same_family(*r) for r in zip(pdf["family_a"], pdf["kind_a"], pdf["family_b"], pdf["kind_b"])], bool)
-        same = (pdf["kind_a"] == pdf["kind_b"]).to_numpy()
-        kind = np.where(family, np.where(same, 1.0, 0.7), 0.0)
-        marks = np.where(apart, 0.0, np.where((pdf["marks_a"].fillna("") == pdf["marks_b"].fillna("")).to_numpy(), 1.0, 0.7))
-        metres = pdf["metres"].to_numpy()
-        inside = metres <= REACH_M
-        # In the ring, pairs are scored as if they lay within reach.
-        metres = np.where(inside, metres, metres * REACH_M / RING_M)
-        ratio = edit_ratios(pdf["core_a"].tolist(), pdf["core_b"].tolist())
-        fits = family & ~apart & (ratio < NEAR_RATIO) & ((ratio < CLOSE_RATIO) | (metres <= NEAR_M))
-        place = np.clip(1 - metres / REACH_M, 0, 1)  # Dice score of two discs, by the overlap of their widths
-        score = w["name"] * name + w["kind"] * kind + w["marks"] * marks + w["place"] * place
-        yield pd.DataFrame({"a": pdf["id_a"], "b": pdf["id_b"], "score": score, "inside": inside})[fits]
-
-
-def calibrate(inside: np.ndarray, outside: np.ndarray, ratio: float) -> np.ndarray:
+def _place(lon: Column, lat: Column) -> list[Column]:
+    """The vectors of a place on the three axes of the globe."""
+    x, y = F.radians(lon), F.radians(lat)
+    return [t("PlaceBits", F.floor(v * (EARTH_M / UNIT_M)).cast("bigint")) for v in (F.cos(y) * F.cos(x), F.cos(y) * F.sin(x), F.sin(y))]
+
+
+def calibrate(inside: np.ndarray, chance: np.ndarray) -> np.ndarray:
     """Confidence for each score bin, rising with the score.
 
-    `outside` counts pairs of the ring, where none match; times `ratio`, the area within
-    reach over the ring's, it is what chance gives within reach. The share beyond chance,
-    pooled until it rises with the score, is the confidence.
+    `inside` counts pairs within reach and `chance` what chance gives there. The share beyond
+    chance, pooled until it rises with the score, is the confidence.
     """
     n = inside + 1.0
-    share = np.clip(1 - (outside * ratio + 0.5) / n, 0, 1)  # half a pair more by chance: few pairs prove little
+    share = np.clip(1 - (chance + 0.5) / n, 0, 1)  # half a pair more by chance: few pairs prove little
     blocks: list[list[float]] = []  # pooled mean, weight, bins
     for s, k in zip(share, n):
         blocks.append([s, k, 1])
@@ -111,27 +97,63 @@ def calibrate(inside: np.ndarray, outside: np.ndarray, ratio: float) -> np.ndarr
     return np.concatenate([np.full(int(c), s) for s, _, c in blocks])
 
 
+def chance_of(ring: dict[int, int]) -> np.ndarray:
+    """Pairs within reach by chance for each score bin, from the ring's pairs by hundredths of their score without the place.
+
+    A chance pair is anywhere within reach alike: it is spread over rings of equal area, each with its mean score of place.
+    """
+    out, rings = np.zeros(BINS), np.sqrt((np.arange(16) + 0.5) / 16)
+    share = REACH_M**2 / (RING_M**2 - REACH_M**2) / len(rings)
+    for hundredth, n in ring.items():
+        at = (hundredth + 0.5) / 100 + WEIGHTS["place"] * (1 - rings / 2)
+        np.add.at(out, np.minimum((at * BINS).astype(int), BINS - 1), n * share)
+    return out
+
+
 def match_entities(a: DataFrame, b: DataFrame) -> DataFrame:
     """Pairs (id_a, id_b, score, confidence) of records of a and b, smaller id first.
 
-    Both sides have `id`, `name`, `name_key`, `kind`, `lon`, `lat`; other columns are not
-    read. `name_key` stands in for a null name. Records without an id, a telling name or a
-    usable position match nothing. All pairs within REACH_M whose name vectors differ in
-    fewer than CHUNKS bits are scored, and those kept whose names pass an exact check: the
-    vectors may agree where letters do not. Repeated rows give a pair once, ties need no order, an empty side gives no pairs.
+    Both sides have `id`, `name`, `name_key`, `kind`, `lon`, `lat`; other columns are not read. `name_key` comes
+    first, the name's own letters where it is null; the name, or else the key parted again, tells words apart.
+    Records without an id, a telling name or a usable position match nothing. All pairs within RING_M whose
+    key vectors differ in fewer than CHUNKS bits are scored and make the calibration; of those within REACH_M
+    the pairs come out whose names and kinds pass an exact check, as vectors may agree where words do
+    not. Repeated rows give a pair once, ties need no order, an empty side gives no pairs.
     """
-    a, b = store(_prepare(a)), store(_prepare(b))
-    side = lambda df, s: df.select(F.col("rid").alias(f"r{s}"), *(F.col(c).alias(f"{c}_{s}") for c in ("id", "kind", "lon", "lat", "core", "family", "marks", "bits")))
-    pairs = _pairs(a, b, RING_M).join(side(a, "a"), "ra").join(side(b, "b"), "rb")
-    metres = haversine_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"))
-    pairs = pairs.withColumn("metres", metres).filter(F.col("metres") <= RING_M)
-    scored = store(pairs.mapInPandas(_score, "a string, b string, score double, inside boolean"))
-
-    bin_of = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int")
-    counts = np.zeros((2, BINS))
-    for row in scored.groupBy(bin_of.alias("bin"), "inside").count().collect():  # at most 2 * BINS rows
-        counts[int(row["inside"]), row["bin"]] = row["count"]
-    sure = calibrate(counts[1], counts[0], REACH_M**2 / (RING_M**2 - REACH_M**2))
+    register(a.sparkSession)
+    (a, in_a), (b, in_b) = _prepare(a), _prepare(b)
+    rarity = F.lit(word_rarity(a.select("text").unionByName(b.select("text")), "text"))
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}{s}") for c in ("n", "c", "text", "kind", "lon", "lat", "bits")))
+    pairs = _pairs(a, b, RING_M).join(side(a, "a"), "na").join(side(b, "b"), "nb")
+    c = F.col
+    metres = haversine_m(c("lona"), c("lata"), c("lonb"), c("latb"))
+    pairs = pairs.withColumn("metres", metres).filter(c("metres") <= RING_M)
+    w = WEIGHTS
+    named = (
+        w["name"] * dice(c("bitsa"), c("bitsb"))
+        + w["kind"] * dice(t("KindBits", c("texta"), c("kinda")), t("KindBits", c("textb"), c("kindb")))
+        + w["marks"] * dice(t("MarkBits", c("texta"), rarity), t("MarkBits", c("textb"), rarity))
+    )
+    place = sum(dice(p, q) for p, q in zip(_place(c("lona"), c("lata")), _place(c("lonb"), c("latb")))) / 3
+    alike = t("NameAlike", c("texta"), c("kinda"), c("textb"), c("kindb"), rarity)
+    inside = c("metres") <= REACH_M
+    scored = store(pairs.select("ca", "cb", inside.alias("inside"), named.alias("named"), F.when(inside, named + w["place"] * place).alias("score"), F.when(inside, alike >= LEAST).alias("fits")))
+
+    bin_of = F.least(F.floor(c("score") * BINS), F.lit(BINS - 1)).cast("int")
+    counts, ring = np.zeros(BINS), {}
+    hundredth = F.floor(c("named") * 100).cast("int")
+    for row in scored.groupBy("inside", F.when(c("inside"), bin_of).otherwise(hundredth).alias("at")).count().collect():  # at most BINS + 101 rows
+        if row["inside"]:
+            counts[row["at"]] = row["count"]
+        else:
+            ring[row["at"]] = row["count"]
+    sure = calibrate(counts, chance_of(ring))
     confidence = F.get(F.array(*(F.lit(float(x)) for x in sure)), bin_of)
-    out = scored.filter("inside").select(F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b"), "score", confidence.alias("confidence"))
-    return out.groupBy("id_a", "id_b").agg(F.max("score").alias("score"), F.max("confidence").alias("confidence"))
+    good = scored.filter("inside and fits").select("ca", "cb", "score", confidence.alias("confidence"))
+    # Classes of many equal records are joined block by block.
+    many = small(b.filter(c("size") > BLOCK).select(c("c").alias("cb"), F.ceil(c("size") / BLOCK).cast("int").alias("blocks")))
+    blocks = F.coalesce("blocks", F.lit(1))
+    left = good.join(many, "cb", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks").join(in_a.withColumnsRenamed({"c": "ca", "id": "ia"}), "ca")
+    right = in_b.withColumnsRenamed({"c": "cb", "id": "ib"}).join(many, "cb", "left").withColumn("block", F.pmod(F.xxhash64("ib"), blocks).cast("int")).drop("blocks")
+    out = left.join(right, ["cb", "block"]).groupBy(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
+    return out.agg(F.max("score").alias("score"), F.max("confidence").alias("confidence"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small
-from .placenames import NO_NAME
+from .texts import NO_NAME
 
 FIELDS = ("name", "elevation_m", "phone", "water")
 #: Heights outside are codes for a missing value.

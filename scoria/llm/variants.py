@@ -1,196 +1,135 @@
 """Variant spellings of names typed by people (problem 1).
 
-A prefix-filtered set-similarity join on the q-grams of each name's own word, within
-reach on the map, verified by a soft weighted similarity of the name's words in which
-rare ones count more.
-
-Records of one table with the same name, kind and map cell are one class; only classes
-are joined, and pairs of records come out at the end. Each class keeps its rarest q-grams,
-as many as any partner that shares `SHARE` of them must have at least one of. The join key
-is (cell, q-gram), so a crowded cell or a common q-gram is split by the other.
+A prefix-filtered set-similarity join on the q-grams of the names' words, within reach on
+the map, verified by a soft weighted similarity of the words in which rare ones count more.
+
+Records of one table with the same name, kind and place (CLASS degrees) are one class; only
+classes are joined, and pairs of records come out at the end. Each class keeps its rarest
+q-grams, so many that any name similar to its own shares one of them (the bound is derived in
+the kernel from the least similarity). The join key is (cell, q-gram), so a crowded cell or a
+common q-gram is split by the other, and a pair lives only if its places are within reach.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterator
-from functools import lru_cache
+import math
+import struct
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine_m, usable
-from ..session import store
-from .placenames import FAMILY, KIND, Parts, parts, same_family, told_apart
-from .strings import edit_ratios, grams
+from ..session import small, store
+from .jvm import register, t
 
 REACH_M = 700.0
-SHARE = 0.4
 CELL = 0.1  # degrees of latitude
-DIFFER = 12
-CLOSE_RATIO, NEAR_RATIO, NEAR_M = 0.36, 0.46, 300.0
-LEAST = 0.5
-ALPHABET = "^$abcdefghijklmnopqrstuvwxyz0123456789"
-_AT = {c: i for i, c in enumerate(ALPHABET)}
-WIDTH = len(ALPHABET) + 1  # the last place is for any other letter
-CODES = WIDTH * WIDTH
-_M64 = (1 << 64) - 1
+CLASS = 0.001
+#: Similarity from which two names are one; the kernel's filter is derived from it.
+LEAST = 0.62
+#: Words rarer than one name in so many all weigh alike, so that the table of the others is bounded.
+RAREST = 1e-5
+#: Members of a class joined by one task; the pairs of larger classes are spread over blocks.
+BLOCK = 4096
+CODES = 8 * 39 * 39
 
 
-def gram_codes(word: str) -> list[int]:
-    """The distinct 2-grams of a word as numbers below CODES."""
-    at = lambda c: _AT.get(c, WIDTH - 1)
-    return sorted({at(g[0]) * WIDTH + at(g[1]) for g in grams(word)})
-
-
-def bit_vector(codes: list[int]) -> int:
-    """A signed 64-bit vector with one bit set for each q-gram."""
-    v = 0
-    for c in codes:
-        v |= 1 << ((c * 0x9E3779B97F4A7C15 & _M64) >> 58)
-    return v - (1 << 64) if v >> 63 else v
-
-
-def _lon_cell(lon: Column, cy: Column) -> Column:
+def _lon_cell(lon: Column, cy: Column, size: float = CELL) -> Column:
     """Column of a cell in its row: cells keep their width in metres, whatever the latitude."""
-    wide = F.lit(CELL) / F.greatest(F.cos(F.radians((F.abs(cy) + 1) * CELL)), F.lit(0.01))
+    wide = F.lit(size) / F.greatest(F.cos(F.radians((F.abs(cy) + 1) * size)), F.lit(0.01))
     return F.floor(lon / wide).cast("int")
 
 
 def _cell_key(cx: Column, cy: Column) -> Column:
-    return (cy.cast("bigint") * 8192 + cx) * 2048
-
-
-def kind_code(kind: str | None) -> int:
-    """A kind of place as a number, as F.crc32 makes it; 0 for none."""
-    return zlib.crc32((kind or "").encode())
+    return (cy.cast("bigint") * 8192 + cx) * 16384
 
 
-def marks_text(p: Parts) -> str | None:
-    """Modifiers, given names and initials as one text, null for none."""
-    return "/".join([",".join(p.modifiers), ",".join(p.given), ",".join(p.initials)]) if p.modifiers or p.given or p.initials else None
-
-
-def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in batches:
-        rows = [parts(n) for n in pdf["name"]]
-        pdf["core"] = [p.core for p in rows]
-        pdf["family"] = [kind_code(p.family) for p in rows]
-        pdf["marks"] = [marks_text(p) for p in rows]
-        pdf["codes"] = codes = [gram_codes(p.core) if p.core else [] for p in rows]
-        pdf["bits"] = np.array([bit_vector(c) for c in codes], np.int64)
-        yield pdf[pdf["core"] != ""]
-
-
-@lru_cache(maxsize=1 << 18)
-def _apart(a: str | None, b: str | None) -> bool:
-    a, b = a or "//", b or "//"
-    x, y = ([tuple(p.split(",")) if p else () for p in m.split("/")] for m in (a, b))
-    return told_apart(*x, *y)
+def word_rarity(names: DataFrame, column: str = "name") -> bytes:
+    """How common the words of all names are, as the kernel reads it.
 
+    A word weighs the logarithm of names over names with it. Only words of more than RAREST of all names are
+    listed: at most 1 / RAREST times the words of a name, whatever the number of names.
+    """
+    counts = names.select(F.explode(t("NameWords", F.col(column))).alias("w")).groupBy("w").agg(F.count("*").alias("k"))
+    total = max(1, names.count())
+    rows = counts.filter(F.col("k") > total * RAREST).select(t("WordHash", F.col("w")).alias("h"), "k").toLocalIterator()
+    listed = sorted((r["h"], math.log1p(total / r["k"])) for r in rows)
+    return struct.pack(">f", math.log1p(min(total, 1 / RAREST))) + b"".join(struct.pack(">qf", *x) for x in listed)
 
-def _verify(idf: np.ndarray):
-    """mapInPandas: pairs of classes with their similarity, those kept that may be one place."""
-    mean = float(idf.mean())
-    names = {kind_code(k): k for k in (*FAMILY, *KIND, "")}
 
-    def weight(core: str) -> float:
-        return float(idf[gram_codes(core)].sum())
+def gram_order(names: DataFrame, column: str = "name") -> bytes:
+    """A place for each q-gram, the rarest over all names first; at most CODES counts reach the driver."""
+    freq = [0] * CODES
+    for row in names.select(F.explode(t("NameGrams", F.col(column))).alias("g")).groupBy("g").count().collect():
+        freq[row["g"]] = row["count"]
+    place = [0] * CODES
+    for i, g in enumerate(sorted(range(CODES), key=lambda g: (freq[g], g))):
+        place[g] = i
+    return struct.pack(f">{CODES}i", *place)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            pdf = pdf[[
-                same_family(names.get(fa, ""), names.get(ka, ka), names.get(fb, ""), names.get(kb, kb)) and not _apart(ma, mb)
-                for fa, ka, ma, fb, kb, mb in zip(pdf["family_a"], pdf["kind_a"], pdf["marks_a"], pdf["family_b"], pdf["kind_b"], pdf["marks_b"])
-            ]]
-            if not len(pdf):
-                continue
-            a, b = pdf["core_a"].tolist(), pdf["core_b"].tolist()
-            ratio = edit_ratios(a, b)
-            own = np.array([(weight(x) + weight(y)) / 2 for x, y in zip(a, b)])
-            # Words of the lists are common; each weighs as one q-gram of average rarity.
-            other = mean * np.array([(x or "").count(",") + (y or "").count(",") + 2 for x, y in zip(pdf["marks_a"], pdf["marks_b"])]) / 2
-            same = (pdf["marks_a"].fillna("") == pdf["marks_b"].fillna("")).to_numpy()
-            agree = other * np.where(same, 1.0, 0.5)
-            out = pdf[["c_a", "c_b"]].rename(columns={"c_a": "ca", "c_b": "cb"}).assign(ratio=ratio, similarity=(own * (1 - ratio) + agree) / (own + other))
-            yield out[(ratio < NEAR_RATIO) & (out["similarity"] >= LEAST)]
 
-    return run
+def name_classes(records: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): classes (c, n, t, name, kind, lon, lat, size) and members (c, id, lon, lat) of records that name a place."""
+    register(records.sparkSession)
+    r = records.select(F.col("t").cast("int"), "id", "name", F.coalesce("kind", F.lit("")).alias("kind"), F.col("lon").cast("double"), F.col("lat").cast("double"))
+    r = r.filter(usable(F.col("lon"), F.col("lat")) & F.col("id").isNotNull() & F.col("name").isNotNull())
+    cy = F.floor(F.col("lat") / CLASS).cast("int")
+    c = F.xxhash64("t", "name", "kind", cy, _lon_cell(F.col("lon"), cy, CLASS)).alias("c")
+    r = r.select("*", c)
+    # A class's place is wanted to its cell only, so it goes as floats.
+    x, y = F.col("lon").cast("float"), F.col("lat").cast("float")
+    classes = r.groupBy("c", "t", "name", "kind").agg(F.min(x).alias("lon"), F.min(y).alias("lat"), F.count("*").alias("size"))
+    family = t("NameFamily", F.col("name"))
+    # A class's number, fixed by being written, holds its table in the last two bits and the family that its name says (0 for none) in the next four.
+    n = (F.monotonically_increasing_id() * 16 + F.col("family")) * 4 + F.col("t")
+    classes = classes.withColumn("family", family).filter("family is not null").withColumn("n", n)
+    return store(classes), r.select("c", "id", "lon", "lat").distinct()
+
+
+def link_classes(classes: DataFrame) -> DataFrame:
+    """Pairs (ca, cb, similarity) of classes of different tables that may name one place, names unequal."""
+    rarity, order = word_rarity(classes), gram_order(classes)
+    base = classes.select("n", F.col("lon").alias("x"), F.col("lat").alias("y"), t("NamePrefix", F.col("name"), F.lit(rarity), F.lit(order)).alias("rare"))
+    table_of = F.col("n").bitwiseAND(F.lit(3))
+    # Places are a class cell's corner: each member is at most a cell's diagonal farther.
+    reach = (REACH_M + 2 * 1.5 * CLASS * 111_320) * 1.01
+    home_y = F.floor(F.col("y") / CELL).cast("int")
+    home = base.filter(table_of < 2).select(_cell_key(_lon_cell(F.col("x"), home_y), home_y).alias("cell"), "n", "x", "y", F.explode("rare").alias("g"))
+    step = reach / 111_000
+    visit = base.filter(table_of > 0).withColumn("cy", F.explode(F.sequence(F.floor((F.col("y") - step) / CELL).cast("int"), F.floor((F.col("y") + step) / CELL).cast("int"))))
+    wide = F.lit(step) / F.greatest(F.cos(F.radians(F.abs("y") + 0.02)), F.lit(0.01))
+    visit = visit.withColumn("cx", F.explode(F.sequence(_lon_cell(F.col("x") - wide, F.col("cy")), _lon_cell(F.col("x") + wide, F.col("cy")))))
+    visit = visit.select(_cell_key(F.col("cx"), F.col("cy")).alias("cell"), "n", "x", "y", F.explode("rare").alias("g"))
+    side = lambda df, s: df.select((F.col("cell") + F.col("g")).alias("k"), *(F.col(v).alias(f"{v}{s}") for v in "nxy"))
+    ordered = F.col("na").bitwiseAND(F.lit(3)) < F.col("nb").bitwiseAND(F.lit(3))
+    fa, fb = (F.shiftright(v, 2).bitwiseAND(F.lit(15)) for v in ("na", "nb"))
+    fits = (fa == 0) | (fb == 0) | (fa == fb)
+    near = haversine_m(*(F.col(v).cast("double") for v in ("xa", "ya", "xb", "yb"))) <= reach
+    pairs = side(home, "a").join(side(visit, "b"), "k").filter(ordered & fits & near).select("na", "nb").distinct()
+    say = lambda s: classes.select(F.col("n").alias(f"n{s}"), F.col("c").alias(f"c{s}"), F.col("name").alias(f"name_{s}"), F.col("kind").alias(f"kind_{s}"))
+    pairs = pairs.join(say("a"), "na").join(say("b"), "nb").filter("name_a <> name_b")
+    alike = t("NameAlike", *(F.col(v) for v in ("name_a", "kind_a", "name_b", "kind_b")), F.lit(rarity))
+    return pairs.select("ca", "cb", alike.alias("similarity")).filter(F.col("similarity") >= LEAST)
 
 
 def link_variants(records: DataFrame) -> DataFrame:
     """Pairs (id_a, id_b, similarity) of records of different tables that name one place.
 
-    `records` has `t` (int, the table's number), `id`, `name`, `kind`, `lon`, `lat`; other
-    columns are not read. Names that say nothing, null names and ids, names made only of
-    common words, and records without a usable position link to nothing. Names equal
-    character by character are no variants and give no pair. Repeated rows give a pair
-    once. Names of any length are taken whole. Empty tables give no pairs.
+    `records` has `t` (int, the table's number, 0 to 2), `id`, `name`, `kind`, `lon`, `lat`; other columns are not
+    read. Names that say nothing or only a kind of place, null names and ids, and records without a usable position
+    link to nothing. Names equal character by character are no variants and give no pair. Repeated rows give a
+    pair once. Names of any length are taken whole; one of more than 64 words counts as one long word. Empty
+    tables give no pairs. Of names of several words, a word may stand as two in the other name.
     """
-    code = F.crc32(F.coalesce("kind", F.lit(""))).alias("kind")
-    r = records.select("t", "id", "name", code, F.col("lon").cast("double"), F.col("lat").cast("double"))
-    r = r.filter(usable(F.col("lon"), F.col("lat")) & F.col("id").isNotNull() & F.col("name").isNotNull())
-    r = r.withColumn("cy", F.floor(F.col("lat") / CELL).cast("int")).withColumn("cx", _lon_cell(F.col("lon"), F.col("cy")))
-    c = F.xxhash64("t", "name", "kind", "cx", "cy")
-
-    # Bounds are wanted to a few metres only, so they go as floats.
-    x, y = F.col("lon").cast("float"), F.col("lat").cast("float")
-    classes = r.groupBy("t", "name", "kind", "cx", "cy").agg(
-        F.min(x).alias("west"), F.max(x).alias("east"), F.min(y).alias("south"), F.max(y).alias("north")
-    )
-    classes = classes.withColumn("c", c)
-    parsed = "t int, name string, kind long, cx int, cy int, west float, east float, south float, north float, c long, core string, family long, marks string, codes array<int>, bits long"
-    classes = classes.mapInPandas(_parse, parsed).withColumn("name", F.xxhash64("name"))
-    # A class's number, fixed by being written, holds its table in the last two bits and the family that its
-    # name says (0 for none) in the next four, so that the join can tell families apart without a column more.
-    said = F.coalesce(F.create_map(*(F.lit(x) for i, f in enumerate(FAMILY, 1) for x in (kind_code(f), i)))[F.col("family")], F.lit(0))
-    classes = store(classes.withColumn("n", (F.monotonically_increasing_id() * 16 + said) * 4 + F.col("t")).drop("t"))
-
-    # Frequencies of all q-grams over all classes: at most CODES rows.
-    freq = np.zeros(CODES)
-    for row in classes.select(F.explode("codes").alias("g")).groupBy("g").count().collect():
-        freq[row["g"]] = row["count"]
-    total = max(1.0, freq.sum())
-    idf = np.log1p(total / (1 + freq))
-    order = np.empty(CODES, int)
-    order[np.argsort(freq, kind="stable")] = np.arange(CODES)
-    ranks = F.array(*(F.lit(int(x)) for x in order))
-    n = F.size("codes")
-    keep = n - F.ceil(n * SHARE).cast("int") + 1
-    rare = F.slice(F.array_sort(F.transform("codes", lambda g: F.get(ranks, g))), F.lit(1), keep)
-
-    base = classes.select("n", "bits", "cx", "cy", "west", "east", "south", "north", rare.alias("rare"))
-    t = F.col("n").bitwiseAND(F.lit(3))
-    home = base.filter(t < 2).withColumn("cell", _cell_key(F.col("cx"), F.col("cy"))).withColumn("g", F.explode("rare"))
-    lat_reach = (REACH_M + 10) / 111_000  # 10 m for the rounding of the bounds
-    visit = base.filter(t > 0).withColumn(
-        "y", F.explode(F.sequence(F.floor((F.col("south") - lat_reach) / CELL).cast("int"), F.floor((F.col("north") + lat_reach) / CELL).cast("int")))
-    )
-    lon_reach = F.lit(lat_reach) / F.greatest(F.cos(F.radians(F.greatest(F.abs("south"), F.abs("north")) + 0.01)), F.lit(0.01))
-    visit = visit.withColumn("x", F.explode(F.sequence(_lon_cell(F.col("west") - lon_reach, F.col("y")), _lon_cell(F.col("east") + lon_reach, F.col("y")))))
-    visit = visit.withColumn("cell", _cell_key(F.col("x"), F.col("y"))).withColumn("g", F.explode("rare"))
-    key = (F.col("cell") + F.col("g")).alias("k")
-    h = home.select(key, F.col("n").alias("na"), F.col("bits").alias("bits_a"))
-    v = visit.select(key, F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
-    ordered = F.col("na").bitwiseAND(F.lit(3)) < F.col("nb").bitwiseAND(F.lit(3))
-    fa, fb = (F.shiftright(c, 2).bitwiseAND(F.lit(15)) for c in ("na", "nb"))
-    fits = (fa == 0) | (fb == 0) | (fa == fb)
-    # Bitmap filter: each q-gram that only one of two sets has is at most one differing bit.
-    alike = F.bit_count(F.col("bits_a").bitwiseXOR(F.col("bits_b"))) <= DIFFER
-    pairs = h.join(v, "k").filter(ordered & fits & alike).select("na", "nb").distinct()
-
-    say = ["c", "name", "kind", "core", "family", "marks"]
-    side = lambda s: classes.select(F.col("n").alias(f"n{s}"), *(F.col(x).alias(f"{x}_{s}") for x in say))
-    pairs = pairs.join(side("a"), "na").join(side("b"), "nb").filter("name_a <> name_b").drop("na", "nb", "name_a", "name_b")
-    good = pairs.mapInPandas(_verify(idf), "ca long, cb long, ratio float, similarity float")
-
-    members = r.select(c.alias("c"), "id", "lon", "lat").distinct()
-    member = lambda s: members.select(F.col("c").alias(f"c{s}"), F.col("id").alias(f"i{s}"), F.col("lon").alias(f"lon_{s}"), F.col("lat").alias(f"lat_{s}"))
-    out = good.join(member("a"), "ca").join(member("b"), "cb")
-    metres = haversine_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"))
-    out = out.filter((metres <= REACH_M) & ((F.col("ratio") < CLOSE_RATIO) | (metres <= NEAR_M)))
+    classes, members = name_classes(records)
+    good = link_classes(classes)
+    # Classes with many members are joined block by block, so that no task has all pairs of two large ones.
+    many = small(classes.filter(F.col("size") > BLOCK).select(F.col("c").alias("cb"), F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    side = lambda s: members.select(F.col("c").alias(f"c{s}"), F.col("id").alias(f"i{s}"), F.col("lon").alias(f"lon_{s}"), F.col("lat").alias(f"lat_{s}"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    a = good.join(many, "cb", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks").join(side("a"), "ca")
+    b = side("b").join(many, "cb", "left").withColumn("block", F.pmod(F.xxhash64("ib"), blocks).cast("int")).drop("blocks")
+    out = a.join(b, ["cb", "block"]).filter(haversine_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")) <= REACH_M)
     return out.groupBy(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 
 

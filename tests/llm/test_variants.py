@@ -1,119 +1,168 @@
-"""Links of typed names: the parts of a name, the join against all pairs, odd rows."""
+"""Links of typed names: words and similarity, the joins against all pairs, odd rows."""
 
 import random
 
-from scoria.functions.geo import EARTH_M, angle, unit_xyz
-from scoria.llm.linkage import calibrate, match_entities
-from scoria.llm.placenames import parts, same_family, says_nothing, told_apart, words_of_key
-from scoria.llm.strings import edit_ratios
-from scoria.llm.variants import CLOSE_RATIO, LEAST, NEAR_M, NEAR_RATIO, REACH_M, link_variants
+import pytest
+from pyspark.sql import functions as F
 
+from scoria.functions.geo import haversine_m
+from scoria.llm.jvm import register, t
+from scoria.llm.linkage import CHUNKS, _pairs, calibrate, chance_of, match_entities
+from scoria.llm.variants import LEAST, REACH_M, link_classes, link_variants, name_classes, word_rarity
 
-def test_parts():
-    assert parts("Lieweaph, James Peak")[:2] == ("lieweaph", "summit")
-    assert parts("The MNT. Quea brelwea").core == "queabrelwea" and parts("X C.G.").family == "campground"
-    assert parts("7 Foo Fls").modifiers == parts("Seven Foo Falls").modifiers == ("seven",)
-    for n in (None, "", "  ", "(no name)", "N/A", "Unnamed", "-"):
-        assert says_nothing(n) and parts(n).core == ""
-    assert parts("Spring").core == ""
+RECORD = "t int, id string, name string, kind string, lon double, lat double"
 
 
-def test_keys_parted_again():
-    assert words_of_key("eastrobertpeathophspring") == "east robert peathoph spring" and words_of_key("mountzaquodro") == "mount zaquodro"
-    assert parts(words_of_key("voanifloarch"))[:2] == ("voaniflo", "arch") and words_of_key("peak") == "peak" and words_of_key("") == ""
-    assert parts(words_of_key("bopraloaxnaturalbridge")).core == "bopraloax"
+@pytest.fixture(scope="module")
+def alike(spark):
+    """Similarity of two names beside some others, whose words make some common."""
+    register(spark)
 
+    def of(a, b, others=(), kinds=("summit", "summit")):
+        names = spark.createDataFrame([(n,) for n in [a, b, *others]], "name string")
+        rarity = F.lit(word_rarity(names))
+        one = spark.createDataFrame([(a, b)], "a string, b string")
+        return one.select(t("NameAlike", F.col("a"), F.lit(kinds[0]), F.col("b"), F.lit(kinds[1]), rarity)).first()[0] or 0.0
 
-def test_told_apart():
-    a = lambda x, y: told_apart(*parts(x)[3:], *parts(y)[3:])
-    assert a("East Foo Peak", "West Foo Peak") and a("Big Foo", "Foo") and a("Robert Foo", "Henry Foo")
-    assert not a("E. Foo Peak", "East Foo Peak") and not a("Bob Foo", "Robert Foo") and not a("W. Foo", "William Foo") and not a("Foo", "Henry Foo")
-    assert same_family("summit", "rock", "summit", "summit") and not same_family("spring", "x", "cave", "x") and same_family("", "summit", "summit", None)
+    return of
 
 
-def edit(a, b):
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        new = [i]
-        for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
-    return row[-1]
+def test_words(spark):
+    register(spark)
+    names = [("Lieweaph, James Peak", ["jams", "liweaf"], 1), ("The MNT. Quea brelwea", ["brelwea", "kea"], 1), ("X C.G.", None, None), ("7 Foo Fls", ["foo", "seven"], 4),
+             ("Spring", None, None), ("Foo Peek", ["foo"], 1), ("Two Mountian", ["two"], 1), (None, None, None), ("", None, None), ("(no name)", None, None), ("N/A", None, None), ("Bill Pk", ["william"], 1)]
+    got = spark.createDataFrame([(n,) for n, _, _ in names], "n string").select("n", t("NameWords", F.col("n")).alias("w"), t("NameFamily", F.col("n")).alias("f")).collect()
+    for (n, words, family), r in zip(names, got):
+        assert r["f"] == family, n
+        if words:
+            assert sorted(r["w"]) == sorted(w.replace("jams", "james") for w in words), n
 
 
-def test_edit_ratios():
-    r = random.Random(1)
-    words = ["".join(r.choices("abcé", k=r.randint(1, 12))) for _ in range(300)]
-    a, b = words[:150], words[150:]
-    assert [round(x, 9) for x in edit_ratios(a, b, 16)] == [round(edit(x, y) / max(len(x), len(y)), 9) for x, y in zip(a, b)]
-    assert list(edit_ratios(["", "a" * 5000], ["x", "a" * 5000])) == [1.0, 0.0]
+OTHERS = [f"{w} Place{i}" for i in range(60) for w in ("Silver", "East", "West", "Big", "Cedar", "Robert", "Henry")][:300]
+
+
+def test_similarity(alike):
+    same = [("Silver Peak", "Slvr Pk"), ("Cedar Spring", "Ceder Spg"), ("Green Eagle Peak", "Eagle Green Peak"), ("E. Foolano Peak", "East Foolano Peak"), ("Bob Foolano", "Robert Foolano"),
+            ("W. Foolano", "William Foolano"), ("Foolano", "Henry Foolano"), ("Ruba send Falls", "Rubasend Fall"), ("Skaiviltfe Peak", "Skai viltfe Pk."), ("Cedar Rubasend", "Ceder Ruba send")]
+    apart = [("East Foolano Peak", "West Foolano Peak"), ("Big Foolano", "Foolano"), ("Robert Foolano", "Henry Foolano"), ("Silver Foolano", "Cedar Foolano"), ("Foolano Peak", "Barbekim Peak"),
+             ("E. Foolano", "West Foolano"), ("East Foolano", "Foolano"), ("N Foolano", "S Foolano"), ("Silver Peak", "Cedar Peak"), ("Granite Dome", "Copper Mountain")]
+    for a, b in same:
+        assert alike(a, b, OTHERS) >= LEAST, (a, b)
+        assert alike(a, b, OTHERS) == pytest.approx(alike(b, a, OTHERS))
+    for a, b in apart:
+        assert alike(a, b, OTHERS) < LEAST, (a, b)
+    assert alike("Foolano Spring", "Foolano Cave") == 0 and alike("Foolano", "Foolano", kinds=("summit", "rock")) == 1 and alike("Foolano", "Foolano", kinds=("summit", "cave")) == 0
+
+
+def test_rarity_decides(alike):
+    """A word that only one name has tells places apart if it is rare, and does not if half of all names have it."""
+    assert alike("Foolano Ranch", "Foolano", [f"Place{i}" for i in range(400)]) < LEAST
+    assert alike("Foolano Ranch", "Foolano", [f"Place{i} Ranch" for i in range(400)]) >= LEAST
 
 
 def make(n, seed):
     r, rows = random.Random(seed), []
     for k in range(n):
-        core = "".join(r.choice("bdgklmprst") + r.choice("aeiou") for _ in range(4))
+        core = "".join(r.choice("bdgklmprst") + r.choice("aeiou") for _ in range(r.choice([2, 4, 4, 5])))
         kind, word = r.choice([("summit", "Peak"), ("spring", "Spring"), ("pass", "Pass")])
-        mod = r.choice(["", "", "East ", "Big "])
+        mod = r.choice(["", "", "East ", "Big ", "Silver "])
         lon, lat = r.uniform(-110, -109.9), r.choice([40.0, 64.9]) + r.uniform(0, 0.05)
-        for t in range(3):
+        for t_ in range(3):
             for _ in range(r.randint(0, 2)):
                 c = list(core)
-                for _ in range(r.choice([0, 0, 1, 2])):
-                    c[r.randrange(len(c))] = r.choice("aeioubdg")
+                for _ in range(r.choice([0, 0, 1, 2, 3])):
+                    at = r.randrange(len(c))
+                    c[at : at + r.choice([0, 1, 1, 2])] = r.choice("aeioubdg") * r.choice([0, 1, 1, 2])
                 name = mod + "".join(c).title() + " " + r.choice([word, word[:2] if word != "Spring" else "Spg", ""])
-                rows.append((t, f"{t}-{k}-{len(rows)}", name.strip(), kind, lon + r.gauss(0, 0.001), lat + r.gauss(0, 0.0006)))
+                rows.append((t_, f"{t_}-{k}-{len(rows)}", name.strip(), kind, lon + r.gauss(0, 0.001), lat + r.gauss(0, 0.0006)))
     return rows
 
 
 def test_like_all_pairs(spark):
-    rows = make(150, 7)
-    schema = "t int, id string, name string, kind string, lon double, lat double"
+    """No link of the all-pairs run is lost, none is added."""
+    rows = make(220, 7)
+    long = "".join(random.Random(1).choices("abdefgiklmnorstuz", k=100_000))
     odd = [(0, "x1", None, None, 1.0, 1.0), (1, None, "Foo Peak", "summit", -110.0, 40.0), (1, "x2", "Foo Peak", None, None, None), (2, "x3", "Foo Peak", "summit", 0.0, 0.0),
-           (0, "x4", "N/A", "summit", -110.0, 40.0), (1, "x5", "-", "summit", -110.0, 40.0), (0, "x6", "y" * 100_000, "summit", 5.0, 5.0), (1, "x7", "y" * 100_000 + "z", "summit", 5.0, 5.0)]
-    df = spark.createDataFrame(rows + rows[:20] + odd, schema).selectExpr("*", "1 as c", "2 as n", "3 as bits", "4 as core")
+           (0, "x4", "N/A", "summit", -110.0, 40.0), (1, "x5", "-", "summit", -110.0, 40.0), (0, "x6", long, "summit", 5.0, 5.0), (1, "x7", long + "z", "summit", 5.0, 5.0),
+           (0, "x8", "w " * 30_000, "summit", 6.0, 5.0), (1, "x9", "word " * 30_000, "summit", 6.0, 5.0)]
+    df = spark.createDataFrame(rows + rows[:20] + odd, RECORD).selectExpr("*", "1 as c", "2 as n", "3 as bits", "4 as core", "5 as size")
     got = {(r["id_a"], r["id_b"]) for r in link_variants(df).collect()}
     assert ("x6", "x7") in got
-    want, sure = set(), set()
-    xyz = unit_xyz([x[4] for x in rows], [x[5] for x in rows])
-    ps = [parts(x[2]) for x in rows]
-    for i, a in enumerate(rows):
-        for j, b in enumerate(rows):
-            p, q = ps[i], ps[j]
-            if a[0] >= b[0] or a[2] == b[2] or not same_family(p.family, a[3], q.family, b[3]) or told_apart(*p[3:], *q[3:]):
-                continue
-            m, ratio = angle(xyz[i], xyz[j]) * EARTH_M, edit(p.core, q.core) / max(len(p.core), len(q.core))
-            if m <= REACH_M and (ratio < CLOSE_RATIO or (ratio < NEAR_RATIO and m <= NEAR_M)):
-                want.add(tuple(sorted((a[1], b[1]))))
-                if ratio <= 0.25:
-                    sure.add(tuple(sorted((a[1], b[1]))))
+    classes, _ = name_classes(df)
+    rarity = F.lit(word_rarity(classes))
+    all_pairs = spark.createDataFrame(rows, RECORD).distinct()
+    side = lambda s: all_pairs.select(*(F.col(c).alias(f"{c}_{s}") for c in all_pairs.columns))
+    near = haversine_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b")) <= REACH_M
+    j = side("a").join(side("b"), (F.col("t_a") < F.col("t_b")) & (F.col("name_a") != F.col("name_b")) & near)
+    want = {tuple(sorted(r)) for r in j.filter(t("NameAlike", F.col("name_a"), F.col("kind_a"), F.col("name_b"), F.col("kind_b"), rarity) >= LEAST).select("id_a", "id_b").collect()}
     got.discard(("x6", "x7"))
-    assert got <= want and sure <= got and len(want - got) <= 0.02 * len(want) + 2 and len(sure) > 100 and LEAST <= 0.5
+    assert got == want and len(want) > 200
 
 
 def test_same_names_cost_nothing(spark):
-    rows = [(t, f"{t}-{k}", "Foo Peak", "summit", -110.0, 40.0) for t in (0, 1) for k in range(3000)] + [(1, "v", "Foo Pk", "summit", -110.0, 40.0)]
-    df = spark.createDataFrame(rows, "t int, id string, name string, kind string, lon double, lat double")
-    assert link_variants(df).count() == 3000
+    rows = [(t_, f"{t_}-{k}", "Foo Peak", "summit", -110.0, 40.0) for t_ in (0, 1) for k in range(9000)] + [(1, "v", "Foo Pk", "summit", -110.0, 40.0), (0, "u", "Fooo Pk", "summit", -110.0, 40.0)]
+    df = spark.createDataFrame(rows, RECORD)
+    classes, _ = name_classes(df)
+    assert classes.count() == 4 and link_classes(classes).count() == 3
+    assert link_variants(df).count() == 9000 + 9000 + 1
 
 
 def test_empty(spark):
-    df = spark.createDataFrame([], "t int, id string, name string, kind string, lon double, lat double")
-    assert link_variants(df).count() == 0
+    assert link_variants(spark.createDataFrame([], RECORD)).count() == 0
+
+
+ENTITY = "id string, name string, name_key string, kind string, lon double, lat double"
 
 
 def test_entities(spark):
-    schema = "id string, name string, name_key string, kind string, lon double, lat double"
-    a = [("g1", "East Bradolim Peak", "x", "summit", -110.0, 40.0), ("g2", "West Bradolim Peak", None, "summit", -110.003, 40.0), ("g3", "Spring", "spring", "spring", -110.0, 40.0), ("g4", None, "kolemata", None, -100.0, 40.0), ("g5", "Foo", "foo", "pass", None, 40.0), (None, "Foo", "foo", "pass", -110.0, 40.0)]
-    b = [("n1", "Peak Bradolm, E.", "x", "rock", -110.0005, 40.0), ("n2", "Bradolim Spring", "x", "spring", -110.0005, 40.0), ("n3", "Spring", "spring", "spring", -110.0, 40.0), ("n4", "Kolemata", "x", "pass", -100.001, 40.0), ("n5", "East Bradolim Peak", "x", "summit", -111.0, 40.0)]
-    x, y = spark.createDataFrame(a + a, schema), spark.createDataFrame(b, schema).selectExpr("*", "1 as bits", "2 as rid")
+    a = [("g1", "East Bradolim Peak", "eastbradolimpeak", "summit", -110.0, 40.0), ("g2", "West Bradolim Peak", None, "summit", -110.003, 40.0), ("g3", "Spring", "spring", "spring", -110.0, 40.0), ("g4", None, "kolemata", None, -100.0, 40.0), ("g5", "Foo", "foo", "pass", None, 40.0), (None, "Foo", "foo", "pass", -110.0, 40.0)]
+    b = [("n1", "Peak Bradolm, E.", None, "rock", -110.0005, 40.0), ("n2", "Bradolim Spring", "bradolimspring", "spring", -110.0005, 40.0), ("n3", "Spring", "spring", "spring", -110.0, 40.0), ("n4", "Kolemata", "kolemata", "pass", -100.001, 40.0), ("n5", "East Bradolim Peak", "eastbradolimpeak", "summit", -111.0, 40.0)]
+    # Some matching pairs more: a calibration from two pairs proves little.
+    more = [(f"m{k}", f"East {w} Peak", f"east{w}peak".lower(), "summit", -90.0 + k, 40.0) for k, w in enumerate("Albarno Belcrani Cordumel Dristova Elgramin Fordaski Gelminta Hirvandol".split())]
+    x, y = spark.createDataFrame(a + a + more, ENTITY), spark.createDataFrame(b + [("w" + m[0], *m[1:]) for m in more], ENTITY).selectExpr("*", "1 as bits", "2 as rid", "3 as size")
     got = {(r["id_a"], r["id_b"]): r["confidence"] for r in match_entities(x, y).collect()}
-    assert set(got) == {("g1", "n1"), ("g4", "n4")} and all(0.5 <= c <= 1 for c in got.values())
+    assert set(got) == {("g1", "n1"), ("g4", "n4")} | {(m[0], "w" + m[0]) for m in more} and all(0 <= c <= 1 for c in got.values())
+    assert got["m0", "wm0"] > 0.8
     assert match_entities(x.limit(0), y).count() == 0 and match_entities(x, y.limit(0)).count() == 0
 
 
+def test_hashing_finds_all_close_vectors(spark):
+    """Every pair of vectors that differ in fewer than CHUNKS bits, and none twice."""
+    r = random.Random(3)
+    rows = []
+    for k in range(400):
+        v = r.getrandbits(64) & r.getrandbits(64) & r.getrandbits(64)
+        for _ in range(3):
+            x = v
+            for _ in range(r.randint(0, 8)):
+                x ^= 1 << r.randrange(64)
+            rows.append((len(rows), x - (1 << 64) if x >> 63 else x, -110 + r.uniform(-0.0005, 0.0005), 40 + r.uniform(-0.0005, 0.0005)))
+    df = spark.createDataFrame(rows, "n long, bits long, lon double, lat double")
+    got = [tuple(x) for x in _pairs(df, df, 1400.0).collect()]
+    want = {(p[0], q[0]) for p in rows for q in rows if ((p[1] ^ q[1]) & ((1 << 64) - 1)).bit_count() < CHUNKS}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_confidence_is_the_true_share(spark):
+    """Among pairs of like confidence, the share that truly belongs together is near it or above."""
+    r, a, b = random.Random(11), [], []
+    for k in range(1500):
+        core = "".join(r.choice("bdgklmprst") + r.choice("aeiou") for _ in range(4))
+        lon, lat = r.uniform(-110.1, -110), r.uniform(40, 40.1)
+        typo = list(core)
+        for _ in range(r.choice([0, 0, 1, 2])):
+            typo[r.randrange(len(typo))] = r.choice("aeioubdg")
+        a.append((f"a{k}", core.title() + " Peak", None, "summit", lon, lat))
+        b.append((f"b{k}", "".join(typo).title() + " Peak", None, "summit", lon + r.gauss(0, 0.001), lat + r.gauss(0, 0.001)))
+    out = match_entities(spark.createDataFrame(a, ENTITY), spark.createDataFrame(b, ENTITY)).collect()
+    sure = [x for x in out if x["confidence"] >= 0.9]
+    assert len(sure) > 1000 and sum(x["id_a"][1:] == x["id_b"][1:] for x in sure) / len(sure) >= 0.9
+    assert sum(x["id_a"][1:] == x["id_b"][1:] for x in out) >= 1300
+
+
 def test_calibration_rises():
     import numpy as np
 
-    c = calibrate(np.array([100.0, 10, 200, 300]), np.array([300.0, 0, 60, 0]), 0.3)
+    c = calibrate(np.array([100.0, 10, 200, 300]), np.array([300.0, 0, 60, 0]) * 0.3)
     assert (np.diff(c) >= 0).all() and c[-1] > 0.99 and c[0] < 0.5
+    assert chance_of({50: 300, 85: 3}).sum() == pytest.approx(303 / 3)
