@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ..functions.geo import haversine_m, usable
 from ..session import small, store
 from .jvm import register, t
-from .variants import BLOCK, LEAST, _cell_key, _lon_cell, word_rarity
+from .variants import LEAST, _cell_key, _lon_cell, expand, word_rarity
 
 REACH_M = 700.0
 RING_M = 1400.0
@@ -45,14 +45,16 @@ def dice(a: Column, b: Column) -> Column:
 
 
 def _prepare(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): records alike in all attributes are one class (n, c, text, kind, lon, lat, bits); members are (c, id)."""
+    """(classes, members): records alike in all attributes are one class (n, c, text, kind, lon, lat, bits, size, ids), as of name_classes; members are (c, id)."""
     r = df.select("id", "name", "name_key", F.coalesce("kind", F.lit("")).alias("kind"), F.col("lon").cast("double"), F.col("lat").cast("double"))
     r = r.filter(usable(F.col("lon"), F.col("lat")) & F.col("id").isNotNull() & F.coalesce("name", "name_key").isNotNull())
-    r = r.select("*", F.xxhash64("name", "name_key", "kind", "lon", "lat").alias("c"))
-    classes = r.groupBy("c", "name", "name_key", "kind", "lon", "lat").agg(F.count("*").alias("size"))
+    c = F.xxhash64("name", "name_key", "kind", "lon", "lat").alias("c")
+    classes = r.groupBy("name", "name_key", "kind", "lon", "lat").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("size"))
     key, name = F.col("name_key"), F.col("name")
-    classes = classes.select("c", "kind", "lon", "lat", "size", t("NameText", key, name).alias("text"), t("KeyBits", key, name).alias("bits"))
-    return store(classes.filter(t("NameFamily", F.col("text")).isNotNull()).withColumn("n", F.monotonically_increasing_id())), r.select("c", "id").distinct()
+    ids = F.when((F.col("size") <= 2) | (F.col("low") == F.col("high")), F.array_distinct(F.array("low", "high")))
+    classes = classes.select(c, "kind", "lon", "lat", "size", ids.alias("ids"), t("NameText", key, name).alias("text"), t("KeyBits", key, name).alias("bits"))
+    classes = store(classes.filter(t("NameFamily", F.col("text")).isNotNull()).withColumn("n", F.monotonically_increasing_id()))
+    return classes, r.select(c, "id").join(small(classes.filter("ids is null").select("c")), "c").distinct()
 
 
 def _pairs(a: DataFrame, b: DataFrame, reach: float) -> DataFrame:
@@ -123,7 +125,7 @@ def match_entities(a: DataFrame, b: DataFrame) -> DataFrame:
     register(a.sparkSession)
     (a, in_a), (b, in_b) = _prepare(a), _prepare(b)
     rarity = F.lit(word_rarity(a.select("text").unionByName(b.select("text")), "text"))
-    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}{s}") for c in ("n", "c", "text", "kind", "lon", "lat", "bits")))
+    side = lambda df, s: df.select(*(F.col(c).alias(f"{c}{s}") for c in ("n", "text", "kind", "lon", "lat", "bits")), *(F.col(c).alias(f"{c}_{s}") for c in ("c", "ids", "size")))
     pairs = _pairs(a, b, RING_M).join(side(a, "a"), "na").join(side(b, "b"), "nb")
     c = F.col
     metres = haversine_m(c("lona"), c("lata"), c("lonb"), c("latb"))
@@ -137,7 +139,7 @@ def match_entities(a: DataFrame, b: DataFrame) -> DataFrame:
     place = sum(dice(p, q) for p, q in zip(_place(c("lona"), c("lata")), _place(c("lonb"), c("latb")))) / 3
     alike = t("NameAlike", c("texta"), c("kinda"), c("textb"), c("kindb"), rarity)
     inside = c("metres") <= REACH_M
-    scored = store(pairs.select("ca", "cb", inside.alias("inside"), named.alias("named"), F.when(inside, named + w["place"] * place).alias("score"), F.when(inside, alike >= LEAST).alias("fits")))
+    scored = store(pairs.select("c_a", "ids_a", "c_b", "ids_b", "size_b", inside.alias("inside"), named.alias("named"), F.when(inside, named + w["place"] * place).alias("score"), F.when(inside, alike >= LEAST).alias("fits")))
 
     bin_of = F.least(F.floor(c("score") * BINS), F.lit(BINS - 1)).cast("int")
     counts, ring = np.zeros(BINS), {}
@@ -149,11 +151,5 @@ def match_entities(a: DataFrame, b: DataFrame) -> DataFrame:
             ring[row["at"]] = row["count"]
     sure = calibrate(counts, chance_of(ring))
     confidence = F.get(F.array(*(F.lit(float(x)) for x in sure)), bin_of)
-    good = scored.filter("inside and fits").select("ca", "cb", "score", confidence.alias("confidence"))
-    # Classes of many equal records are joined block by block.
-    many = small(b.filter(c("size") > BLOCK).select(c("c").alias("cb"), F.ceil(c("size") / BLOCK).cast("int").alias("blocks")))
-    blocks = F.coalesce("blocks", F.lit(1))
-    left = good.join(many, "cb", "left").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).drop("blocks").join(in_a.withColumnsRenamed({"c": "ca", "id": "ia"}), "ca")
-    right = in_b.withColumnsRenamed({"c": "cb", "id": "ib"}).join(many, "cb", "left").withColumn("block", F.pmod(F.xxhash64("ib"), blocks).cast("int")).drop("blocks")
-    out = left.join(right, ["cb", "block"]).groupBy(F.least("ia", "ib").alias("id_a"), F.greatest("ia", "ib").alias("id_b"))
-    return out.agg(F.max("score").alias("score"), F.max("confidence").alias("confidence"))
+    good = scored.filter("inside and fits").select("c_a", "ids_a", "c_b", "ids_b", "size_b", "score", confidence.alias("confidence"))
+    return expand(good, in_a, in_b, b.filter("ids is null"), ["score", "confidence"])

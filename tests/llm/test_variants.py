@@ -103,7 +103,7 @@ def test_same_names_cost_nothing(spark):
     rows = [(t_, f"{t_}-{k}", "Foo Peak", "summit", -110.0, 40.0) for t_ in (0, 1) for k in range(9000)] + [(1, "v", "Foo Pk", "summit", -110.0, 40.0), (0, "u", "Fooo Pk", "summit", -110.0, 40.0)]
     df = spark.createDataFrame(rows, RECORD)
     classes, _ = name_classes(df)
-    assert classes.count() == 4 and link_classes(classes).count() == 3
+    assert classes.count() == 4 and link_classes(classes).count() == 3 and classes.filter("ids is null").count() == 2
     assert link_variants(df).count() == 9000 + 9000 + 1
 
 
