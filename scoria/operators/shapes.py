@@ -48,16 +48,15 @@ OUTLINE_ORDER = {"park": 0, "wilderness": 1, "forest": 2}
 def outlines(areas: DataFrame, cell: list[str], unit: float) -> DataFrame:
     """(cell, area_id, kind, stroke, shape): strokes of a cell's areas, each edge drawn once; shapes unaltered.
 
-    Parks come first, then wildernesses, then forests; a stroke leaves out what earlier ones show. `areas` has
+    Parks come first, then wildernesses, then forests; a stroke leaves out what earlier ones show, and a forest's also its
+    runs beside parks and the edges that it shares with earlier forests. `areas` has
     area_id, kind and shape; `unit` is one metre in the shapes' units. The fold runs over a cell's own areas only.
     """
     register(areas.sparkSession)
     rank = F.coalesce(F.create_map(*(F.lit(x) for kv in OUTLINE_ORDER.items() for x in kv))[F.col("kind")], F.lit(3))
     row = F.struct(rank.alias("rank"), F.col("area_id"), F.col("kind"), F.col("shape"), g("Boundary", F.col("shape")).alias("edge"))
     cells = areas.groupBy(*cell).agg(F.array_sort(F.collect_list(row)).alias("a"))
-    parks = g("Union", F.transform(F.filter("a", lambda x: x["kind"] == "park"), lambda x: x["edge"]))
-    at = cells.withColumn("parks", parks).select(*cell, "parks", "a", F.posexplode("a").alias("_i", "_x"))
-    earlier = F.transform(F.slice("a", F.lit(1), F.col("_i")), lambda x: x["edge"])
-    parks_for = F.when(F.col("_x.kind") == "forest", F.col("parks"))
-    stroke = g("OutlineOnce", F.col("_x.edge"), earlier, parks_for, unit, F.col("_x.kind") == "forest")
+    at = cells.select(*cell, "a", F.posexplode("a").alias("_i", "_x"))
+    earlier = F.transform(F.slice("a", F.lit(1), F.col("_i")), lambda x: F.struct(x["kind"].alias("kind"), x["shape"].alias("shape"), x["edge"].alias("edge")))
+    stroke = g("Outline", F.col("_x.kind"), F.col("_x.shape"), F.col("_x.edge"), earlier, unit)
     return at.select(*cell, "_x.area_id", "_x.kind", stroke.alias("stroke"), "_x.shape")

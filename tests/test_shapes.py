@@ -100,14 +100,33 @@ def test_outlines_once(spark):
     assert got[2]["l"] == 40000 and 29400 < got[1]["l"] < 30000 and got[1]["a"] == 1e8 and got[3]["l"] < 1016
 
 
-def test_shared_forest_edge(spark):
+def strokes(spark, *areas):
     register(spark)
-    df = spark.createDataFrame([("POLYGON((0 0, 5000 0, 5000 9000, 0 9000, 0 0))", "POLYGON((5100 0, 9000 0, 9000 9000, 5100 9000, 5100 0))")], "a string, b string").selectExpr("g_fromtext(a) as a", "g_fromtext(b) as b")
-    apart = df.select(g("Length", g("OutlineShared", g("Boundary", F.col("b")), F.col("b"), g("Boundary", F.col("a")), F.col("a"), 1.0))).first()[0]
-    assert apart == 25800.0  # areas that do not meet keep their strokes
-    df = spark.createDataFrame([("POLYGON((0 0, 5000 0, 5000 9000, 0 9000, 0 0))", "POLYGON((4950 0, 9000 0, 9000 9000, 4950 9000, 4950 0))")], "a string, b string").selectExpr("g_fromtext(a) as a", "g_fromtext(b) as b")
-    once = df.select(g("Length", g("OutlineShared", g("Boundary", F.col("b")), F.col("b"), g("Boundary", F.col("a")), F.col("a"), 1.0))).first()[0]
-    assert 16500 < once < 18500
+    df = spark.createDataFrame([(1, i, k, w) for i, (k, w) in enumerate(areas)], "cell int, area_id int, kind string, wkt string").withColumn("shape", g("FromText", F.col("wkt")))
+    rows = outlines(df, ["cell"], 1.0).select("area_id", g("Length", F.col("stroke")).alias("l"), g("Area", F.col("shape")).alias("a")).collect()
+    return {r["area_id"]: (round(r["l"], 1), r["a"]) for r in rows}
+
+
+def rect(x0, y0, x1, y1):
+    return f"POLYGON(({x0} {y0}, {x1} {y0}, {x1} {y1}, {x0} {y1}, {x0} {y0}))"
+
+
+def test_shared_forest_edge(spark):
+    left = ("forest", rect(0, 0, 5000, 9000))
+    assert strokes(spark, left, ("forest", rect(5100, 0, 9000, 9000)))[1][0] == 25800.0  # areas that do not meet keep their strokes
+    got = strokes(spark, left, ("forest", rect(4950, 0, 9000, 9000)))
+    assert got[0][0] == 28000 and 16500 < got[1][0] < 18500 and got[1][1] == 4050 * 9000
+    # Overlapping by more than the probes reach: the areas are not on opposite sides.
+    assert 18100 < strokes(spark, left, ("forest", rect(100, 0, 5100, 9000)))[1][0] < 18300
+    # A short contact is no shared edge.
+    assert strokes(spark, left, ("forest", rect(5000, 8500, 9000, 9500)))[1][0] > 9400
+
+
+def test_island_between_two_cuts(spark):
+    """A bulge of some 500 m, up to 300 m away from the neighbour, between two shared runs is no stroke either; a higher one is."""
+    bulge = "POLYGON((5000 0, 5000 3500, {0} 4000, {0} 4300, 5000 4800, 5000 9000, 9000 9000, 9000 0, 5000 0))"
+    low, high = (strokes(spark, ("forest", rect(0, 0, 5000, 9000)), ("forest", bulge.format(x)))[1][0] for x in (5300, 5600))
+    assert low < 17010 and high > 17300
 
 
 def test_dissolve_in_salts(spark):
@@ -115,3 +134,44 @@ def test_dissolve_in_salts(spark):
     df = spark.range(200).selectExpr("id % 2 as k", "g_fromtext(concat('POLYGON((', id, ' 0,', id + 1, ' 0,', id + 1, ' 1,', id, ' 1,', id, ' 0))')) as shape")
     got = {r["k"]: (r["a"], r["n"]) for r in dissolve(df, ["k"]).select("k", g("Area", F.col("shape")).alias("a"), F.size(g("Polygons", F.col("shape"))).alias("n")).collect()}
     assert got == {0: (100.0, 100), 1: (100.0, 100)}
+
+
+def test_within_is_exact(spark):
+    """Length near another line against points every centimetre."""
+    import math
+    import random
+
+    register(spark)
+    r = random.Random(3)
+    line = lambda n: [(r.uniform(0, 30), r.uniform(0, 30)) for _ in range(n)]
+
+    def off(p, a, b, flat_a, flat_b):
+        dx, dy = b[0] - a[0], b[1] - a[1]
+        t = ((p[0] - a[0]) * dx + (p[1] - a[1]) * dy) / (dx * dx + dy * dy)
+        if (t < 0 and flat_a) or (t > 1 and flat_b):
+            return math.inf
+        t = min(1, max(0, t))
+        return math.hypot(p[0] - a[0] - t * dx, p[1] - a[1] - t * dy)
+
+    for _ in range(12):
+        a, b, d, flat = line(3), line(4), r.choice([1.0, 3.0]), r.random() < 0.5
+        text = lambda x: "LINESTRING(" + ", ".join(f"{u} {v}" for u, v in x) + ")"
+        got = spark.createDataFrame([(text(a), text(b))], "a string, b string").select(g("WithinLength", g("FromText", F.col("a")), g("FromText", F.col("b")), d, flat)).first()[0]
+        want, n = 0.0, 2000
+        for p, q in zip(a, a[1:]):
+            for k in range(n):
+                at = (p[0] + (q[0] - p[0]) * (k + 0.5) / n, p[1] + (q[1] - p[1]) * (k + 0.5) / n)
+                near = min(off(at, u, v, flat and i == 0, flat and i == len(b) - 2) for i, (u, v) in enumerate(zip(b, b[1:])))
+                want += math.dist(p, q) / n * (near <= d)
+        assert abs(got - want) < 0.1, (got, want, d, flat)
+
+
+def test_signed_route_in_order(spark):
+    """Lines of one route up to 100 m apart are one where their order agrees, however many points they have."""
+    zig = ", ".join(f"{x} {80 if x % 50 else 70}" for x in range(0, 40001, 25))
+    ref = dict(id="r", reference=True, route_ref="JMT", kind="trail", name="A", wkt="LINESTRING(0 0, 40000 0)")
+    tight = f"LINESTRING(0 0, 30 1, 80 1, {', '.join(f'{x} {80 if x % 50 else 70}' for x in range(100, 40001, 25))})"
+    add = dict(id="a", agency="USFS", route_ref="JMT", kind="trail", name="B")
+    assert total(net(spark, ref, {**add, "wkt": tight}), "a") < 100
+    assert total(net(spark, ref, {**add, "wkt": f"LINESTRING({zig})"}), "a") > 30000  # never near enough to begin with
+    assert total(net(spark, ref, {**add, "route_ref": "PNT", "wkt": tight}), "a") > 30000
