@@ -20,6 +20,33 @@ def dissolve(df: DataFrame, key: list[str], shape: str = "shape", salts: int = 3
     return part.groupBy(*key).agg(g("Union", F.collect_list(shape)).alias(shape))
 
 
+def pairs_of_groups(lines: DataFrame, key: list[str], source: str) -> DataFrame:
+    """(key, source_a, source_b, shape_a, shape_b): each key's lines of two sources, each source's dissolved into one shape."""
+    d = dissolve(lines, [*key, source])
+    side = lambda s: d.select(*key, F.col(source).alias(f"{source}_{s}"), F.col("shape").alias(f"shape_{s}"))
+    return side("a").join(side("b"), key).filter(F.col(f"{source}_a") < F.col(f"{source}_b"))
+
+
+def overlaps(lines: DataFrame, key: list[str], source: str, metres: float = 50.0, least: float = 100.0, share: float = 0.5) -> DataFrame:
+    """(key, source_a, source_b, shared, ratio) of sources that draw the same ways under one key.
+
+    `shared` is the lesser of both lengths within `metres` of the other, ends cut flat; kept are pairs that share `least` and
+    a `share` of the shorter one.
+    """
+    near = lambda p, q: g("WithinLength", F.col(f"shape_{p}"), F.col(f"shape_{q}"), metres, True)
+    p = pairs_of_groups(lines, key, source).withColumn("shared", F.least(near("a", "b"), near("b", "a")))
+    shorter = F.greatest(F.least(g("Length", F.col("shape_a")), g("Length", F.col("shape_b"))), F.lit(1.0))
+    p = p.withColumn("ratio", F.col("shared") / shorter).filter((F.col("shared") >= least) & (F.col("ratio") >= share))
+    return p.select(*key, f"{source}_a", f"{source}_b", "shared", "ratio")
+
+
+def coverage(lines: DataFrame, key: list[str], source: str, widths: tuple[float, ...] = (15.0, 30.0, 50.0)) -> DataFrame:
+    """(key, source_a, source_b, a15, ..., b50): of each of two sources' lines under one key, the share within each width of the other's."""
+    p = pairs_of_groups(lines, key, source)
+    part = lambda x, y, d: g("WithinLength", F.col(f"shape_{x}"), F.col(f"shape_{y}"), d, False) / F.greatest(g("Length", F.col(f"shape_{x}")), F.lit(1.0))
+    return p.select(*key, f"{source}_a", f"{source}_b", *(part(x, y, d).alias(f"{x}{d:.0f}") for x, y in ("ab", "ba") for d in widths))
+
+
 def merge_parts(df: DataFrame, key: list[str], shape: str = "shape") -> DataFrame:
     """(key, part): each group's lines joined end to end, one row for each resulting line."""
     register(df.sparkSession)

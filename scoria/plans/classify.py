@@ -8,6 +8,7 @@ from ..functions.names import clean_text
 from ..operators import classify as c
 from ..operators.rejects import split_rejects, typed_gnis
 from ..session import table
+from .problems import _LINES
 from .registry import query
 
 
@@ -116,8 +117,7 @@ def _(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", c.flow(v("l_partkey"), v("l_suppkey")).alias("flow"))
 
 
-@query("p19_gazetteer_points", f"""with v as (select line_id, string_split(raw_line, '|') as f from gnis_lines where raw_line not like '%"%' and length(raw_line) - length(replace(raw_line, '|', '')) = 9),
-  g as (select line_id, f[2] as name, f[3] as class, try_cast(f[9] as double) as lat, try_cast(f[10] as double) as lon from v where regexp_full_match(f[1], '[0-9]+') and try_cast(f[1] as hugeint) between 1 and 9223372036854775807 and regexp_full_match(f[9], '[+-]?[0-9]+([.][0-9]+)?') and regexp_full_match(f[10], '[+-]?[0-9]+([.][0-9]+)?'))
+@query("p19_gazetteer_points", f"""{_LINES}, g as (select line_id, f[2] as name, f[3] as class, cast(lat as double) as lat, cast(lon as double) as lon from r where reason is null)
   select line_id, name, {_case('class', c.GNIS_KIND)} as kind, {_case('class', c.GNIS_ZOOM)} as min_zoom from g where class in ({', '.join(repr(k) for k in c.GNIS_KIND)}) and name <> '' and not contains(lower(name), '(historical)')
   and lon between -180 and 180 and (lon <= -60 or lon >= 170) and lat between 18 and 72""")
 def _(spark, sf):

@@ -344,7 +344,7 @@ def _(spark, sf):
     return t.filter("o_custkey % 5 = 0").select("key").join(t.filter("status = 'done'").select("key"), "key", "left_anti")
 
 
-@query("j31_cell_audit", f"with d as ({_DEM}) select p_partkey, v from part join d on d.id = p_partkey % 100 and d.r = p_partkey % 8 and d.c = p_size % 8")
+@query("j31_cell_audit", f"with d as ({_DEM}) select p_partkey, v from part left join d on d.id = p_partkey % (select max(vec_id) + 1 from embeddings) and d.r = p_partkey % 8 and d.c = p_size % 8")
 def _(spark, sf):
     # Labels lie on all blocks; one on a block that is missing stays, without a value.
     i = F.col("p_partkey") % _top(spark, sf, "embeddings", "vec_id")
@@ -390,7 +390,7 @@ def _(spark, sf):
     return d.groupBy("id").agg(F.count("f").alias("fine"), F.count("c").alias("coarse"), none.alias("none"), F.sum("h").alias("total"))
 
 
-@query("r02_chunks", "select p_partkey, p_partkey // 1024 as cx, cast(least(1024, 2500 - (p_partkey // 1024) * 1024) as bigint) as width from part where p_partkey < 2500")
+@query("r02_chunks", "select p_partkey, p_partkey // 1024 as cx, cast(least(1024, (select greatest(2500, max(p_partkey) + 1) from part) - (p_partkey // 1024) * 1024) as bigint) as width from part")
 def _(spark, sf):
     # The grid is 2500 wide, or as wide as its keys need.
     cx, wide = F.floor(F.col("p_partkey") / 1024), max(2500, _top(spark, sf, "part", "p_partkey"))

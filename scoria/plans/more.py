@@ -123,7 +123,7 @@ def _(spark, sf):
     return f.filter("x between 3000 and 4000").select("id", "kind").distinct()
 
 
-@query("q09_dem_audit", f"with d as (select id, count(*) filter (v > 0) as n from ({_DEM}) group by 1) select p_partkey % 100 as cell, n >= 20 as covered, count(*) as labels from part join d on d.id = p_partkey % 100 group by 1, 2")
+@query("q09_dem_audit", f"with d as (select id, count(*) filter (v > 0) as n from ({_DEM}) group by 1), p as (select p_partkey % (select max(vec_id) + 1 from embeddings) as cell from part) select cell, coalesce(n >= 20, false) as covered, count(*) as labels from p left join d on d.id = cell group by 1, 2")
 def _(spark, sf):
     d = _dem(spark, sf).groupBy("id").agg(F.count_if(F.col("v") > 0).alias("n"))
     p = table(spark, sf, "part").select((F.col("p_partkey") % _top(spark, sf, "embeddings", "vec_id")).alias("id"))

@@ -139,33 +139,35 @@ def _(spark, sf):
     return d.select("kind", F.round(g("Area", F.col("shape")), 6).alias("area"), F.size(g("Polygons", F.col("shape"))).alias("parts"))
 
 
-def _named_pairs(spark, sf, reach):
-    """Pairs of lines of one row and name, a's agency before b's, at most `reach` apart along x; each pair once.
+# Lines of a row (80 apart from the next), a name and an agency are one group; runs are its lines put together, at each height and over all.
+_RUNS = f"""s as (select a, y, y // 100 as row_no, l_partkey % 8 as name, x0, x1 from ({_SEG})),
+  m as (select *, max(x1) over (partition by row_no, name, a, y order by x0, x1 rows between unbounded preceding and 1 preceding) as before from s),
+  r as (select *, sum(case when before is null or x0 > before then 1 else 0 end) over (partition by row_no, name, a, y order by x0, x1 rows unbounded preceding) as run from m),
+  runs as (select row_no, name, a, y, min(x0) as x0, max(x1) as x1 from r group by row_no, name, a, y, run),
+  length as (select row_no, name, a, sum(x1 - x0) as total from runs group by 1, 2, 3)"""
 
-    Rows lie 80 apart at least. Cells of 300 along x are no shorter than a line: a pair meets in the cell where its common stretch starts.
-    """
-    s = _seg(spark, sf).withColumn("row", F.floor(F.col("y") / 100)).withColumn("name", F.col("l_partkey") % 8)
 
-    def side(n, grow):
-        cells = F.explode(F.sequence(F.floor((F.col("x0") - grow) / 300), F.floor((F.col("x1") + grow) / 300)))
-        return s.select("row", "name", cells.alias("cell"), *(F.col(c).alias(f"{c}_{n}") for c in ("id", "a", "x0", "x1", "y", "shape")))
+def _covered(widths: str, reach: str) -> str:
+    """Covered length of each run's group by another agency's group, within widths d; a covering run reaches `reach` beyond its ends."""
+    return f"""hit as (select p.row_no, p.name, p.a as a, q.a as b, d, p.y, p.x0 as p0, greatest(p.x0, q.x0 - {reach}) as x0, least(p.x1, q.x1 + {reach}) as x1
+      from runs p join runs q on p.row_no = q.row_no and p.name = q.name and p.a <> q.a cross join (select unnest({widths}) as d) w where abs(p.y - q.y) <= d),
+    hm as (select *, max(x1) over (partition by row_no, name, a, b, d, y, p0 order by x0, x1 rows between unbounded preceding and 1 preceding) as before from hit where x1 > x0),
+    covered as (select row_no, name, a, b, d, sum(greatest(0, x1 - greatest(x0, coalesce(before, x0)))) as part from hm group by 1, 2, 3, 4, 5)"""
 
-    start = F.greatest(F.col("x0_a"), F.col("x0_b") - reach)
-    j = side("a", 0).join(side("b", reach), ["row", "name", "cell"]).filter("a_a < a_b")
-    return j.filter((start <= F.least(F.col("x1_a"), F.col("x1_b") + reach)) & (F.col("cell") == F.floor(start / 300)))
 
+def _rows(spark, sf):
+    s = _seg(spark, sf)
+    return s.select(F.floor(F.col("y") / 100).alias("row_no"), (F.col("l_partkey") % 8).alias("name"), F.col("a").alias("agency"), "shape")
 
-_NEARBY = f"with s as ({_SEG}), a as (select * from s where a = 0), b as (select * from s where a = 1) select a.id as id_a, b.id as id_b, least(a.x1, b.x1) - greatest(a.x0, b.x0) as shared from a join b on a.y // 100 = b.y // 100 and abs(a.y - b.y) <= 8 and least(a.x1, b.x1) - greatest(a.x0, b.x0) >= 100 and a.l_partkey % 8 = b.l_partkey % 8"
 
-
-@query("j25_named_overlap", _NEARBY + " where (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * 2 >= least(a.x1 - a.x0, b.x1 - b.x0)")
+@query("j25_named_overlap", f"""with {_RUNS}, {_covered('[50]', '0')}
+  select u.row_no, u.name, u.a as agency_a, u.b as agency_b, cast(round(least(u.part, v.part)) as bigint) as shared from covered u join covered v on u.row_no = v.row_no and u.name = v.name and u.a = v.b and u.b = v.a
+  join length x on x.row_no = u.row_no and x.name = u.name and x.a = u.a join length z on z.row_no = u.row_no and z.name = u.name and z.a = u.b
+  where u.a < u.b and least(u.part, v.part) >= 100 and least(u.part, v.part) * 2 >= least(x.total, z.total)""")
 def _(spark, sf):
-    """Lines of one name and of different agencies that lie within 50 m of each other, ends cut flat, for 100 m and half the shorter."""
-    j = _named_pairs(spark, sf, 0).filter("least(x1_a, x1_b) - greatest(x0_a, x0_b) >= 100 and abs(y_a - y_b) <= 50")
-    c = F.col
-    near = lambda p, q: g("Length", g("Intersection", c(f"shape_{p}"), box(c(f"x0_{q}"), c(f"y_{q}") - 50, c(f"x1_{q}"), c(f"y_{q}") + 50)))
-    j = j.withColumn("shared", _round(F.least(near("a", "b"), near("b", "a")), 1))
-    return j.filter("shared >= 100 and shared * 2 >= least(x1_a - x0_a, x1_b - x0_b)").select("id_a", "id_b", "shared")
+    """Agencies whose lines of one name, row by row, lie within 50 m of each other, ends cut flat, for 100 m and half the shorter."""
+    o = shapes.overlaps(_rows(spark, sf), ["row_no", "name"], "agency")
+    return o.select("row_no", "name", "agency_a", "agency_b", _round(F.col("shared"), 1).alias("shared"))
 
 
 @query("j12_site_distance", "select f.id, a.area_id from (select distinct id, lon, lat from facilities where lon between -180 and 180 and lat between -90 and 90 and not (lon = 0 and lat = 0)) f join areas a on sqrt(pow(greatest(0, a.west - f.lon, f.lon - a.east), 2) + pow(greatest(0, a.south - f.lat, f.lat - a.north), 2)) <= 0.05")
@@ -181,13 +183,18 @@ def _(spark, sf):
     return j.filter(g("Distance", p, c("shape")) <= 0.05).select("id", "area_id")
 
 
-@query("agg22_coverage", f"with s as ({_SEG}), a as (select * from s where a = 0), b as (select * from s where a = 2) select a.id as id_a, b.id as id_b, least(a.x1, b.x1) - greatest(a.x0, b.x0) as within from a join b on a.y // 100 = b.y // 100 and abs(a.y - b.y) <= 15 and a.l_partkey % 8 = b.l_partkey % 8 and b.x0 <= a.x0 and b.x1 >= a.x1")
+_WIDTHS = (15, 30, 50)
+
+
+@query("agg22_coverage", f"""with {_RUNS}, {_covered('[15, 30, 50]', 'sqrt(d * d - (p.y - q.y) * (p.y - q.y))')},
+  pairs as (select x.row_no, x.name, x.a as a, z.a as b, x.total as la, z.total as lb from length x join length z on x.row_no = z.row_no and x.name = z.name and x.a < z.a)
+  select row_no, name, p.a as agency_a, p.b as agency_b, """ + ", ".join(
+    f"cast(floor(1000 * coalesce((select part from covered c where c.row_no = p.row_no and c.name = p.name and c.d = {d} and c.a = p.{x} and c.b = p.{y}), 0) / l{x} + 0.5) as bigint) as {x}{d}"
+    for x, y in ("ab", "ba") for d in _WIDTHS) + " from pairs p")
 def _(spark, sf):
-    """Fraction of each line of a pair of agencies that lies within 15, 30 and 50 m of the other, for pairs that come that near."""
-    j = _named_pairs(spark, sf, 50).filter(g("Distance", F.col("shape_a"), F.col("shape_b")) < 50)
-    part = lambda p, q, d: F.round(g("WithinLength", F.col(f"shape_{p}"), F.col(f"shape_{q}"), float(d)) / F.greatest(g("Length", F.col(f"shape_{p}")), F.lit(1.0)), 3)
-    cover = [part(p, q, d).alias(f"{p}{d}") for p, q in ("ab", "ba") for d in (15, 30, 50)]
-    return j.select("id_a", "id_b", *cover)
+    """Share, in thousandths, of the lines of each of two agencies, row and name, that lies within 15, 30 and 50 m of the other's."""
+    o = shapes.coverage(_rows(spark, sf), ["row_no", "name"], "agency")
+    return o.select("row_no", "name", "agency_a", "agency_b", *(F.floor(1000 * F.col(f"{x}{d}") + 0.5).cast("bigint").alias(f"{x}{d}") for x in "ab" for d in _WIDTHS))
 
 
 @query("c09_conflate")

@@ -1,32 +1,13 @@
-"""Queries that do their whole job where their SQL does a part of it."""
-
-import os
-from collections import defaultdict
-
-import duckdb
-import pytest
+"""Queries over whole tables whose case on the smallest tables shows a part only."""
 
 from scoria import plans
-from scoria.operators import classify as c
 from scoria.operators import ledger
-from scoria.plans.classify import _case
-from scoria.plans.problems import _LINES
-
-SF = "/root/testdata/sf0.01"
-tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
 
 
 def run(spark, name, sf):
     return plans.QUERIES[name](spark, str(sf))
 
 
-def duck(sql, *names):
-    con = duckdb.connect()
-    for n in names:
-        con.execute(f"create view {n} as select * from '{SF}/{n}.parquet'")
-    return con.execute(sql).fetchall()
-
-
 def test_gazetteer_quoted_lines(spark, tmp_path):
     line = '7|{}|Summit|California|Placer|Map|||39.1|-120.2'
     rows = [(1, line.format("Plain Peak")), (2, line.format('"Peak ""A"" | B"')), (3, line.format('Peak "A"')), (4, line.format('"Old (Historical)"'))]
@@ -35,15 +16,6 @@ def test_gazetteer_quoted_lines(spark, tmp_path):
     assert got == {1: "Plain Peak", 2: 'Peak "A" | B'}
 
 
-@tables
-def test_gazetteer_whole(spark):
-    sql = f"""{_LINES}, g as (select line_id, f[2] as name, f[3] as class, cast(lat as double) as lat, cast(lon as double) as lon from r where reason is null)
-      select line_id, name, {_case('class', c.GNIS_KIND)} as kind, {_case('class', c.GNIS_ZOOM)} as min_zoom from g where class in ({', '.join(repr(k) for k in c.GNIS_KIND)})
-      and name <> '' and not contains(lower(name), '(historical)') and lon between -180 and 180 and (lon <= -60 or lon >= 170) and lat between 18 and 72"""
-    got = run(spark, "p19_gazetteer_points", SF).select("line_id", "name", "kind", "min_zoom").collect()
-    assert sorted(map(tuple, got)) == sorted(duck(sql, "gnis_lines"))
-
-
 def test_chunks_of_a_wide_grid(spark, tmp_path):
     spark.createDataFrame([(0,), (2499,), (2500,), (3000,)], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
     got = sorted(map(tuple, run(spark, "r02_chunks", tmp_path).collect()))
@@ -61,38 +33,6 @@ def test_audits_reach_every_block(spark, tmp_path):
     assert got == {i: (i not in (0, 5, 7), 2) for i in range(130)}
 
 
-NAMED = """with s as (select l_orderkey * 100 + l_linenumber as id, l_linenumber % 3 as a, (l_partkey % 500) * 10 as x0, (l_partkey % 500) * 10 + 50 + cast(l_quantity as bigint) * 5 as x1,
-  (l_orderkey % 200) * 100 + (l_linenumber * 7) % 20 as y, l_partkey % 8 as name from lineitem)
-  select a.id, b.id, a.x0, a.x1, a.y, b.x0, b.x1, b.y from s a join s b on a.name = b.name and a.y // 100 = b.y // 100 and a.a < b.a and abs(a.y - b.y) <= 50"""
-
-
-@tables
-def test_overlap_of_all_agencies(spark):
-    shared = "least(a.x1, b.x1) - greatest(a.x0, b.x0)"
-    sql = f"{NAMED} and {shared} >= 100 and ({shared}) * 2 >= least(a.x1 - a.x0, b.x1 - b.x0)"
-    want = sorted((a, b, min(p1, q1) - max(p0, q0)) for a, b, p0, p1, _, q0, q1, _ in duck(sql, "lineitem"))
-    assert sorted(map(tuple, run(spark, "j25_named_overlap", SF).collect())) == want
-
-
-@tables
-def test_coverage_both_ways(spark):
-    got = defaultdict(list)  # ids are repeated in lineitem
-    for r in run(spark, "agg22_coverage", SF).select("id_a", "id_b", *(f"{p}{d}" for p in "ab" for d in (15, 30, 50))).collect():
-        got[tuple(r)[:2]].append(tuple(r)[2:])
-    for a, b, p0, p1, py, q0, q1, qy in duck(f"{NAMED} and a.x0 <= b.x1 + 50 and b.x0 <= a.x1 + 50", "lineitem"):
-        if max(0, p0 - q1, q0 - p1) ** 2 + (py - qy) ** 2 >= 2500:
-            continue
-        want = []
-        for lo, hi, other0, other1 in ((p0, p1, q0, q1), (q0, q1, p0, p1)):
-            for d in (15, 30, 50):
-                reach = (d * d - (py - qy) ** 2) ** 0.5 if d >= abs(py - qy) else None
-                want.append(0 if reach is None else max(0, min(hi, other1 + reach) - max(lo, other0 - reach)) / (hi - lo))
-        same = [h for h in got[a, b] if max(abs(x - y) for x, y in zip(h, want)) < 0.006]  # round ends are polygons
-        assert same, (a, b, want, got[a, b])
-        got[a, b].remove(same[0])
-    assert not any(got.values())
-
-
 def test_equivalence_both_ways(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "id int, k string")
     more = spark.createDataFrame([(1, "x"), (2, None), (2, None), (3, "y")], "id int, k string")
