@@ -67,38 +67,52 @@ def _said(c: str) -> str:
     return f"case when {_LETTERS.format(c)} not in {_NOTHING} then {c} end"
 
 
-def _agency(c: str) -> str:
-    x = _LETTERS.format(c)
-    return (
-        f"case when {x} in {_NOTHING} then null when regexp_matches({x}, 'forest|usfs') then 'USFS' when regexp_matches({x}, 'park|^nps$') then 'NPS' "
-        f"when regexp_matches({x}, '^rec|ridb') then 'Recreation.gov' when regexp_matches({x}, 'gnis|^usgs|geologic') then 'USGS GNIS' "
-        f"when regexp_matches({x}, 'geoname') then 'GeoNames' else trim({c}) end"
-    )
-
-
 _WINNERS = f"""
-with own as (
+with k as (
+  select agency, trust_rank, {_LETTERS.format("agency")} as code, {_LETTERS.format("full_name")} as full_name,
+    [x for x in regexp_split_to_array(lower(agency), '[^a-z0-9]+') if x <> ''] as cw, [x for x in regexp_split_to_array(lower(full_name), '[^a-z0-9]+') if x <> ''] as fw from agencies),
+k2 as (select *, array_to_string([case when x = 'database' then 'db' else x[1] end for x in fw], '') as initials from k),
+said as (
+  select agency as written, {_LETTERS.format("agency")} as plain,
+    [case x when 'natl' then 'national' when 'nat' then 'national' when 'svc' then 'service' when 'serv' then 'service' when 'rec' then 'recreation' when 'info' then 'information' when 'geog' then 'geographic' else x end
+      for x in regexp_split_to_array(replace(lower(agency), chr(39), ''), '[^\\p{{L}}\\p{{N}}]+') if x <> ''] as words
+  from (select distinct agency from features where agency is not null)),
+means as (
+  select written, arg_min(k2.agency, (coalesce(k2.trust_rank, 1000000), k2.agency)) as agency from said join k2 on
+    plain in (code, full_name, initials) or (
+      len([x for x in words if not list_contains(cw, x) and not list_contains(fw, x) and x <> initials and not list_contains([y[1] for y in fw], x) and x not in ('the', 'of', 'usda', 'us')]) = 0
+      and (len([x for x in words if (list_contains(cw, x) or x = code or x = initials) and length(x) > 2 and x not in ('united', 'states', 'national', 'gov')]) > 0
+        or len([x for x in fw if x not in ('united', 'states', 'national', 'gov') and not list_contains(words, x)]) = 0))
+  group by 1),
+own as (
   select distinct match_group, id, name, agency, elevation_m,
     list_filter(cast(json_extract(case when json_valid(source_records) then source_records end, '$[*]') as json[]), lambda x: json_extract_string(x, '$.id') = id)[1] as own
   from features where match_group is not null and id is not null),
 d as (
-  select match_group, id, {_agency("agency")} as said, {_said("name")} as name,
+  select match_group, id, case when {_LETTERS.format("own.agency")} in {_NOTHING} then null else coalesce(means.agency, trim(own.agency)) end as said, {_said("name")} as name,
     case when elevation_m between -500 and 9000 then elevation_m end as elevation_m,
     json_extract_string(own, '$.details.phone') as phone0, json_extract_string(own, '$.details.water') as water0,
-    trim(json_extract_string(own, '$.details.updated')) as u from own),
+    trim(json_extract_string(own, '$.details.updated')) as u from own left join means on own.agency = means.written),
 e as (
   select match_group, id, said, name, elevation_m, {_said("phone0")} as phone, {_said("water0")} as water,
     case when regexp_matches(u, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') then try_cast(substr(u, 1, 10) as date)
-      when regexp_full_match(u, '[0-9]{{12,14}}') then date '1970-01-01' + cast(try_cast(u as bigint) // 86400000 as int)
+      when regexp_full_match(u, '-?[0-9]{{12,14}}') then date '1970-01-01' + cast(floor(try_cast(u as bigint) / 86400000) as int)
+      when regexp_full_match(u, '-?[0-9]{{8,11}}') then date '1970-01-01' + cast(floor(try_cast(u as bigint) / 86400) as int)
       when regexp_full_match(u, '[0-9]{{1,2}}/[0-9]{{1,2}}/[0-9]{{4}}') then cast(coalesce(try_strptime(u, '%m/%d/%Y'), try_strptime(u, '%d/%m/%Y')) as date)
       else cast(try_strptime(u, '%d %b %Y') as date) end as day from d),
 f as (
   select e.*, trust_rank, (name is not null)::int + (elevation_m is not null)::int + (phone is not null)::int + (water is not null)::int as complete
   from e left join agencies a on a.agency = e.said),
 w as (
-  select match_group, field_name, id, row_number() over (partition by match_group, field_name order by trust_rank nulls last, day desc nulls last, complete desc, id) as rn
+  select match_group, field_name, id, value, row_number() over (partition by match_group, field_name order by trust_rank nulls last, day desc nulls last, complete desc, id, value) as rn
   from (select match_group, id, trust_rank, day, complete, unnest(['name', 'elevation_m', 'phone', 'water']) as field_name,
     unnest([name, cast(elevation_m as varchar), phone, water]) as value from f) where value is not null)
 """
 
-ORACLE = {"p4_found": _WINNERS + "select match_group, field_name, id from w where rn = 1"}
+ORACLE = {
+    "p4_found": _WINNERS + "select match_group, field_name, id from w where rn = 1",
+    "p4_records": _WINNERS + """, l as (select match_group, id as best_id, said as agency, row_number() over (partition by match_group order by trust_rank nulls last, day desc nulls last, complete desc, id) as rn from f)
+  select l.match_group, best_id, agency, max(value) filter (field_name = 'name') as name, max(try_cast(value as double)) filter (field_name = 'elevation_m') as elevation_m,
+    max(value) filter (field_name = 'phone') as phone, max(value) filter (field_name = 'water') as water
+  from l left join w on w.match_group = l.match_group and w.rn = 1 where l.rn = 1 group by all""",
+}

@@ -8,19 +8,22 @@ a group with a third of all rows costs no more than any other.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small
 from .texts import NO_NAME
 
 FIELDS = ("name", "elevation_m", "phone", "water")
 #: Heights outside are codes for a missing value.
 HEIGHTS = (-500.0, 9000.0)
-# How each agency's name is recognised, in order, on its letters and digits.
-AGENCY = (
-    ("USFS", "forest|usfs"), ("NPS", "park|^nps$"), ("Recreation.gov", "^rec|ridb"), ("USGS GNIS", "gnis|^usgs|geologic"), ("GeoNames", "geoname"),
-)
+# Short forms of words in agencies' names; words that any of them may have; words by which none is known.
+SHORT_WORDS = {"natl": "national", "nat": "national", "svc": "service", "serv": "service", "rec": "recreation", "info": "information", "geog": "geographic"}
+FREE_WORDS = ("the", "of", "usda", "us")
+COMMON_WORDS = ("united", "states", "national", "gov")
+#: Agencies that a table may have: each is a branch of one expression.
+MAX_AGENCIES = 1000
 _OWN = "array<struct<id string, agency string, details struct<updated string, phone string, water string>>>"
 
 
@@ -34,11 +37,38 @@ def telling(c: Column) -> Column:
     return F.when(~letters(c).isin(*sorted(NO_NAME)), c)
 
 
-def canonical_agency(c: Column) -> Column:
-    """The agency that a written name means, or the name as it stands."""
-    plain, out = letters(c), F.when(letters(c).isin(*sorted(NO_NAME)), F.lit(None).cast("string"))
-    for name, pattern in AGENCY:
-        out = out.when(plain.rlike(pattern), name)
+def _words(text: str) -> list[str]:
+    return [w for w in re.split(r"[^\w]+|_", re.sub(r"['\u2019]", "", text.lower())) if w]
+
+
+def _known_as(agency: str, full_name: str | None) -> tuple[list[str], list[str], list[str], list[str]]:
+    """How an agency may be written: whole, by words, of which its own or all telling ones are there."""
+    code, full = _words(agency), _words(full_name or "")
+    initials = "".join("db" if w == "database" else w[0] for w in full)
+    plain = lambda words: "".join(words)
+    whole = {plain(code), plain(full), initials} - {""}
+    allowed = {*code, *full, initials, *(w[0] for w in full), *FREE_WORDS}
+    own = {w for w in (*code, plain(code), initials) if len(w) > 2} - set(COMMON_WORDS)
+    return sorted(whole), sorted(allowed), sorted(own), sorted(set(full) - set(COMMON_WORDS))
+
+
+def canonical_agency(c: Column, agencies: list[tuple[str, str | None]]) -> Column:
+    """The agency of the table, (agency, full_name) by trust, that a written name means, or the name as it stands.
+
+    An agency is meant where its name, its full name or its initials are written, whatever the signs and case; or where all
+    words are from these, in full or short, and among them one by which it alone is known or all telling words of its full name.
+    """
+    plain = letters(c)
+    words = F.filter(F.split(F.regexp_replace(F.lower(c), "['\u2019]", ""), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.transform(words, lambda w: F.coalesce(F.create_map(*(F.lit(x) for kv in SHORT_WORDS.items() for x in kv))[w], w))
+    listed = lambda values: F.array(*(F.lit(v) for v in values)).cast("array<string>")
+    out = F.when(plain.isin(*sorted(NO_NAME)), F.lit(None).cast("string"))
+    for agency, full_name in agencies:
+        whole, allowed, own, telling_words = _known_as(agency, full_name)
+        said = F.arrays_overlap(words, listed(own))
+        if telling_words:
+            said = said | (F.size(F.array_except(listed(telling_words), words)) == 0)
+        out = out.when(plain.isin(*whole) | ((F.size(F.array_except(words, listed(allowed))) == 0) & said), agency)
     return out.otherwise(F.trim(c))
 
 
@@ -66,8 +96,13 @@ def written_day(c: Column) -> Column:
 def _values(features: DataFrame, agencies: DataFrame) -> DataFrame:
     """Grouped records with their four fields (null where nothing is said), trust and day."""
     own = F.get(F.filter(F.from_json("source_records", _OWN), lambda e: e["id"] == F.col("id")), 0)
+    known = agencies.filter("agency is not null").groupBy("agency").agg(F.min("trust_rank").alias("trust_rank"), F.min("full_name").alias("full_name"))
+    known = known.orderBy(F.col("trust_rank").asc_nulls_last(), "agency").limit(MAX_AGENCIES + 1).collect()
+    if len(known) > MAX_AGENCIES:
+        raise ValueError(f"more than {MAX_AGENCIES} agencies")
+    said = canonical_agency(F.col("agency"), [(r["agency"], r["full_name"]) for r in known])
     f = features.filter(F.col("match_group").isNotNull() & F.col("id").isNotNull()).select(
-        "match_group", "id", canonical_agency(F.col("agency")).alias("said"), F.col("name"), F.col("elevation_m"), own.alias("own")
+        "match_group", "id", said.alias("said"), F.col("name"), F.col("elevation_m"), own.alias("own")
     )
     details = F.col("own")["details"]
     high = F.col("elevation_m")
@@ -75,10 +110,10 @@ def _values(features: DataFrame, agencies: DataFrame) -> DataFrame:
         "match_group", "id", "said", telling(F.col("name")).alias("name"), F.when(high.between(*HEIGHTS), high).alias("elevation_m"),
         telling(details["phone"]).alias("phone"), telling(details["water"]).alias("water"), written_day(details["updated"]).alias("day"),
     )
-    ranks = agencies.select(canonical_agency(F.col("agency")).alias("said"), "trust_rank").filter("said is not null")
-    ranks = ranks.groupBy("said").agg(F.min("trust_rank").alias("trust_rank"))
+    ranked = [x for r in known if r["trust_rank"] is not None for x in (F.lit(r["agency"]), F.lit(r["trust_rank"]))]
+    rank = F.create_map(*ranked)[F.col("said")] if ranked else F.lit(None).cast("int")
     full = sum((F.col(c).isNotNull().cast("int") for c in FIELDS), F.lit(0))
-    return f.join(small(ranks), "said", "left").withColumn("complete", full)
+    return f.withColumn("trust_rank", rank).withColumn("complete", full)
 
 
 def _order() -> list[Column]:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from scoria.llm.survivors import best_records, canonical_agency, field_winners, telling, written_day
 
 SCHEMA = "id string, match_group string, name string, agency string, elevation_m double, source_records string"
-RANKS = [("NPS", "National Park Service", 0), ("USFS", "x", 1), ("Recreation.gov", "x", 2), ("USGS GNIS", "x", 3), ("GeoNames", "x", 4)]
+RANKS = [("NPS", "National Park Service", 0), ("USFS", "United States Forest Service", 1), ("Recreation.gov", "Recreation Information Database", 2),
+         ("USGS GNIS", "Geographic Names Information System", 3), ("GeoNames", "GeoNames Gazetteer", 4)]
 
 
 def rec(id_, updated=None, phone=None, water=None, others=()):
@@ -27,9 +28,11 @@ def test_dates(spark):
 
 
 def test_agencies_and_nothing(spark):
-    said = {"Nat'l Park Svc": "NPS", "N.P.S.": "NPS", " usfs ": "USFS", "Forest Service (USFS)": "USFS", "RIDB": "Recreation.gov", "Recreation gov": "Recreation.gov", "U.S.G.S. GNIS": "USGS GNIS", "Geo Names": "GeoNames", "": None, None: None, "Unknown": None, "County": "County"}
+    said = {"Nat'l Park Svc": "NPS", "N.P.S.": "NPS", " usfs ": "USFS", "Forest Service (USFS)": "USFS", "RIDB": "Recreation.gov", "Recreation gov": "Recreation.gov", "U.S.G.S. GNIS": "USGS GNIS", "Geo Names": "GeoNames", "": None, None: None, "Unknown": None, "County": "County",
+            "USDA Forest Service": "USFS", "US Forest Svc": "USFS", "U.S. Forest Service": "USFS", "GNIS": "USGS GNIS", "Rec.gov": "Recreation.gov", "Nat. Park Service": "NPS", "California State Parks": "California State Parks",
+            "Texas Parks and Wildlife": "Texas Parks and Wildlife", "Georgia Department of Forestry": "Georgia Department of Forestry", "Alaska Geological Survey": "Alaska Geological Survey", "National": "National"}
     df = spark.createDataFrame([(k,) for k in said], "t string")
-    assert [r[0] for r in df.select(canonical_agency(F.col("t"))).collect()] == list(said.values())
+    assert [r[0] for r in df.select(canonical_agency(F.col("t"), [r[:2] for r in RANKS])).collect()] == list(said.values())
     df = spark.createDataFrame([("No",), ("none",), ("N/A",), ("?",), (" ",), ("Not available",), ("x",), (None,)], "t string")
     assert [r[0] for r in df.select(telling(F.col("t"))).collect()] == ["No", None, None, None, None, None, "x", None]
 
