@@ -14,7 +14,7 @@ from functools import lru_cache
 
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small, store
@@ -115,3 +115,26 @@ def pack(items: DataFrame, key: str = "doc_id", text: str = "text", capacity: in
         F.col("key").alias(key), "part", "start", F.col("size").alias("tokens"),
         F.coalesce("container", "window").alias("container"), (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("place"),
     )
+
+
+def packing_checks(packed: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> DataFrame:
+    """One row of what must hold of a packing, counted where it does not, and how full it is.
+
+    items: distinct keys; overfull: containers above the capacity; gaps: places where a container's parts do not follow one
+    another; torn: parts that do not follow one another in their text, or texts in parts that would fit whole; loose: 1 if
+    there are over two hundredths and one more containers than the tokens need.
+    """
+    place, text = Window.partitionBy("container").orderBy("place", "tokens", key, "part"), Window.partitionBy(key).orderBy("part")
+    end = F.lag(F.col("place") + F.col("tokens")).over(place)
+    before = F.lag(F.col("start") + F.col("tokens")).over(text)
+    rows = packed.withColumn("gap", (F.coalesce(end, F.lit(0)) != F.col("place")).cast("int"))
+    boxes = rows.groupBy("container").agg(F.sum("tokens").alias("size"), F.sum("gap").alias("gaps"))
+    boxes = boxes.agg(
+        F.count_if(F.col("size") > capacity).alias("overfull"), F.coalesce(F.sum("gaps"), F.lit(0)).alias("gaps"),
+        (F.count_if(F.col("size") > 0) > F.ceil(F.ceil(F.sum("size") / capacity) * 1.02) + 1).cast("int").alias("loose"),
+    )
+    parts = packed.withColumn("torn", (F.coalesce(before, F.lit(0)) != F.col("start")).cast("int"))
+    each = parts.groupBy(key).agg(F.sum("tokens").alias("size"), F.count("*").alias("parts"), F.sum("torn").alias("torn"))
+    wrong = (F.col("torn") > 0) | (F.col("parts") != F.greatest(F.lit(1), F.ceil(F.col("size") / capacity)))
+    texts = each.agg(F.count("*").alias("items"), F.count_if(wrong).alias("torn"))
+    return texts.join(boxes.hint("broadcast"), F.lit(True))  # one row each

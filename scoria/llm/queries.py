@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import table
+from ..session import store, table
 from .leakage import find_leaks
 from .linkage import match_entities
-from .packing import CAPACITY, pack
+from .packing import pack, packing_checks
 from .subjects import label_subjects
 from .survivors import best_records, field_winners
 from .variants import link_variants, place_records
@@ -41,6 +41,11 @@ def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     return pack(table(spark, sf, "documents")).select("doc_id", "part", "container", "place", "tokens")
 
 
+def p6_checks(spark: SparkSession, sf: str) -> DataFrame:
+    """What must hold of the packing of all documents, counted where it does not."""
+    return packing_checks(store(pack(table(spark, sf, "documents"))))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
@@ -55,7 +60,7 @@ def p8_composition(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
-    "p4_found": p4_found, "p4_records": p4_records, "p6_containers": p6_containers, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition,
+    "p4_found": p4_found, "p4_records": p4_records, "p6_containers": p6_containers, "p6_checks": p6_checks, "p7_found": p7_found, "p8_found": p8_found, "p8_composition": p8_composition,
     "p1_found": p1_found, "p5_found": p5_found, "p5_matches": p5_matches,
 }
 
@@ -110,6 +115,7 @@ w as (
 """
 
 ORACLE = {
+    "p6_checks": "select count(distinct doc_id) as items, 0 as torn, 0 as overfull, 0 as gaps, 0 as loose from documents",
     "p4_found": _WINNERS + "select match_group, field_name, id from w where rn = 1",
     "p4_records": _WINNERS + """, l as (select match_group, id as best_id, said as agency, row_number() over (partition by match_group order by trust_rank nulls last, day desc nulls last, complete desc, id) as rn from f)
   select l.match_group, best_id, agency, max(value) filter (field_name = 'name') as name, max(try_cast(value as double)) filter (field_name = 'elevation_m') as elevation_m,
