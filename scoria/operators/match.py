@@ -13,9 +13,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import EARTH_M, angle, unit_xyz, usable
+from ..functions.geo import EARTH_M, unit_xyz, usable
 from ..functions.names import name_key
-from .nearby import MAX_PIVOTS, _nearest, _pivots
+from ..session import store
+from .nearby import VantageTree, _assign, _counts, _inner_pivots, _part_again, _pivots, _reached, _with_cell
 
 # Keys of names that say only the kind of place.
 GENERIC = ("", "camp", "campground", "trailhead", "visitorcenter", "restroom", "restrooms", "toilet", "toilets", "water", "waterpoint", "waterfountain",
@@ -79,61 +80,60 @@ def best_unless_close(pairs: DataFrame, of: str, gap_m: float = 30.0, other: str
 
 def _nearest_in(points: pd.DataFrame, queries: pd.DataFrame, higher: bool) -> np.ndarray:
     """Angle from each query to its nearest point of another id (and of greater height)."""
-    p, q = unit_xyz(points["lon"], points["lat"]), unit_xyz(queries["lon"], queries["lat"])
-    ids, own = points["id"].to_numpy(), queries["id"].to_numpy()
-    out = np.full(len(q), np.inf)
-    step = max(1, 4_000_000 // max(1, len(p)))
-    for at in range(0, len(q), step):
-        d = angle(q[at : at + step, None, :], p[None, :, :])
-        d[ids[None, :] == own[at : at + step, None]] = np.inf
-        if higher:
-            d[points["h"].to_numpy()[None, :] <= queries["h"].to_numpy()[at : at + step, None]] = np.inf
-        if d.shape[1]:
-            out[at : at + step] = d.min(1)
-    return out
+    if not len(points) or not len(queries):
+        return np.full(len(queries), np.inf)
+    tree, at = VantageTree(unit_xyz(points["lon"], points["lat"])), unit_xyz(queries["lon"], queries["lat"])
+    heights = (queries["h"].to_numpy(), points["h"].to_numpy()) if higher else ()
+    return tree.nearest(at, queries["id"].to_numpy(), points["id"].to_numpy(), *heights)
 
 
 def nearest_km(df: DataFrame, height: str | None = None, none_km: float = 20015.0) -> DataFrame:
     """(id, km) from each record to the nearest other one, or to the nearest one that is higher.
 
     Exact in two passes over a Voronoi partition: the nearest within a point's own cell bounds
-    the search, and only points whose ball may reach another cell go there as queries.
+    the search, and only points whose ball may reach another cell go there as queries. Cells are those of the
+    radius join, parted again where they are overfull, and are searched by vantage-point trees.
     Ids must be distinct; records with an unusable position or no height are left out; a record without any
     such other gets none_km.
     """
     h = F.lit(0.0) if height is None else F.col(height).cast("double")
     pts = df.filter(usable(F.col("lon"), F.col("lat"))).select("id", F.col("lon").cast("double"), F.col("lat").cast("double"), h.alias("h")).filter("h is not null")
-    pivots = _pivots(pts, min(pts.count(), MAX_PIVOTS * 1500) * 4)
+    pivots = _pivots(pts, pts.count())
     higher, kind = height is not None, pts.schema["id"].dataType.simpleString()
-    base = f"id {kind}, lon double, lat double, h double"
     if not len(pivots):
         return df.sparkSession.createDataFrame([], f"id {kind}, km double")
-
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(cell=_nearest(unit_xyz(pdf["lon"], pdf["lat"]), pivots)[0].astype("int32"))
+    placed = store(pts.mapInPandas(_assign(pivots, 0.0, False), _with_cell(pts.schema)))
+    inner = _inner_pivots(placed, _counts(placed))
+    if inner is not None:
+        placed = store(placed.mapInPandas(_part_again(inner, 0.0, False), placed.schema))
+    base = f"id {kind}, lon double, lat double, h double, cell int, inner int"
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(bound=_nearest_in(pdf, pdf, higher))
 
     def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts = inner.value if inner is not None else {}
         for pdf in batches:
             for at in range(0, len(pdf), 2048):
                 part = pdf.iloc[at : at + 2048]
-                own, dots = _nearest(unit_xyz(part["lon"], part["lat"]), pivots)
-                far = np.arccos(np.clip(dots, -1, 1))
-                ok = far <= far.min(1, keepdims=True) + 2 * part["bound"].to_numpy()[:, None] + 1e-6
-                ok[np.arange(len(part)), own] = False
-                i, j = np.nonzero(ok)
-                yield part.iloc[i].assign(cell=j.astype("int32"))
+                i, j = _reached(unit_xyz(part["lon"], part["lat"]), pivots, part["bound"].to_numpy()[:, None])
+                out = part.iloc[i].assign(to=j.astype("int32"))
+                for c, rows in out.groupby("to", sort=False):
+                    if c in parts:
+                        # The cell's rows may lie nearest to any of its pivots: the bound is on these alone.
+                        k, m = _reached(unit_xyz(rows["lon"], rows["lat"]), parts[c], rows["bound"].to_numpy()[:, None])
+                        rows = rows.iloc[k].assign(into=m.astype("int32"))
+                    else:
+                        rows = rows.assign(into=np.int32(0))
+                    yield rows[(rows["to"] != rows["cell"]) | (rows["into"] != rows["inner"])].drop(columns=["cell", "inner"]).rename(columns={"to": "cell", "into": "inner"})[[*pdf.columns]]
 
     def second(x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"id": y["id"], "bound": _nearest_in(x, y, higher) if len(y) else np.zeros(0)})
+        return pd.DataFrame({"id": y["id"], "bound": _nearest_in(x, y, higher)})
 
-    placed = pts.mapInPandas(assign, base + ", cell int")
-    bounded = placed.groupBy("cell").applyInPandas(first, base + ", cell int, bound double")
-    visits = bounded.drop("cell").mapInPandas(reach, base + ", bound double, cell int")
-    far = placed.groupBy("cell").cogroup(visits.groupBy("cell")).applyInPandas(second, f"id {kind}, bound double")
+    keys = ["cell", "inner"]
+    bounded = store(placed.groupBy(*keys).applyInPandas(first, base + ", bound double"))
+    visits = bounded.mapInPandas(reach, bounded.schema)
+    far = placed.groupBy(*keys).cogroup(visits.groupBy(*keys)).applyInPandas(second, f"id {kind}, bound double")
     best = bounded.select("id", "bound").unionByName(far).groupBy("id").agg(F.min("bound").alias("bound"))
     return best.select("id", F.when(F.col("bound") > 4, none_km).otherwise(F.col("bound") * (EARTH_M / 1000)).alias("km"))
 
@@ -149,20 +149,41 @@ def groups_within(df: DataFrame, key: list[str], metres: float) -> DataFrame:
     run = F.sum(F.coalesce(gap, F.lit(False)).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     kind = df.schema["id"].dataType.simpleString()
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fold_run(lon: np.ndarray, lat: np.ndarray) -> list[list[int]]:
+        # Groups are looked up by the cell of their lead: a member lies in its cell or one beside it.
+        size = metres * 1.01 / 111_320
+        row = np.floor(lat / size).astype(int)
+        wide = size / max(0.01, np.cos(np.radians(min(89.9, np.abs(lat).max() + size))))
+        turn = int(np.ceil(360 / wide))
+        column = np.floor((lon + 180) / wide).astype(int) % turn
+        at: dict[tuple[int, int], list[int]] = {}
         groups: list[list[int]] = []
-        pdf = pdf.sort_values("id").reset_index(drop=True)
-        lon, lat = pdf["lon"].to_numpy(), pdf["lat"].to_numpy()
-        for i in range(len(pdf)):
-            for g in groups:
+        for i in range(len(lon)):
+            near = sorted(n for dy in (-1, 0, 1) for dx in {k % turn for k in (column[i] - 1, column[i], column[i] + 1, column[i] - 2, column[i] + 2)} for n in at.get((row[i] + dy, dx), ()))
+            for n in near:
+                g = groups[n]
                 dx = ((lon[g] - lon[i] + 180) % 360 - 180) * 111320 * np.cos(np.radians((lat[g] + lat[i]) / 2))
                 if (np.hypot(dx, (lat[g] - lat[i]) * 111320) <= metres).all():
                     g.append(i)
                     break
             else:
+                at.setdefault((row[i], column[i]), []).append(len(groups))
                 groups.append([i])
-        ids = pdf["id"].to_numpy()
-        return pd.DataFrame([(ids[g[0]], ids[i]) for g in groups for i in g], columns=["lead", "id"])
+        return groups
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["unit", "id"], kind="stable")
+        unit, lon, lat, ids = (pdf[c].to_numpy() for c in ("unit", "lon", "lat", "id"))
+        edges = np.concatenate([[0], np.flatnonzero(unit[1:] != unit[:-1]) + 1, [len(unit)]])
+        lead, member = [], []
+        for a, b in zip(edges[:-1], edges[1:]):
+            for g in fold_run(lon[a:b], lat[a:b]) if b - a > 1 else [[0]]:
+                lead += [a + g[0]] * len(g)
+                member += [a + i for i in g]
+        return pd.DataFrame({"lead": ids[lead], "id": ids[member]})
 
     rows = df.filter(usable(F.col("lon"), F.col("lat"))).select(*key, "id", "lon", "lat").distinct().withColumn("run", run)
-    return rows.groupBy(*key, "run").applyInPandas(fold, f"lead {kind}, id {kind}")
+    # A run of a key is folded whole; many small ones go to one call.
+    rows = store(rows.select(F.xxhash64(*key, "run").alias("unit"), "id", "lon", "lat"))
+    calls = max(1, rows.count() // 20_000)
+    return rows.groupBy(F.pmod("unit", F.lit(calls)).alias("call")).applyInPandas(fold, f"lead {kind}, id {kind}")
