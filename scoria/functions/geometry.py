@@ -15,7 +15,7 @@ FUNCTIONS = {
     "Intersection": "binary", "Difference": "binary", "Covers": "boolean", "Buffer": "binary", "Union": "binary", "MergeLines": "binary", "Lines": "array<binary>",
     "Polygons": "array<binary>", "RepairArea": "binary", "Clip": "binary", "Affine": "binary", "Boundary": "binary", "Rounded": "binary", "LabelCenter": "binary",
     "Axis": "struct<length:double,width:double,angle:double>", "Relation": "binary", "CoastWater": "binary", "Wrap": "binary", "Resample": "array<binary>",
-    "Outline": "binary", "Conflate": f"array<{PORTION}>",
+    "Bounds": "binary", "Project": "binary", "Unproject": "binary", "RoundOrient": "binary", "Developed": "boolean", "Outline": "binary", "Conflate": f"array<{PORTION}>",
 }
 
 

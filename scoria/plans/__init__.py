@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from . import classify, grid, ledger, match, more, problems, shapes, tracks
+from . import classify, delivery, grid, ledger, match, more, problems, shapes, tracks
 from .registry import ORACLE as _ORACLE
 from .registry import QUERIES as _QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "classify", "grid", "ledger", "match", "more", "problems", "shapes", "tracks"]
+__all__ = ["ORACLE", "QUERIES", "classify", "delivery", "grid", "ledger", "match", "more", "problems", "shapes", "tracks"]
 
 QUERIES = {**problems.QUERIES, **_QUERIES}
 ORACLE = {**problems.ORACLE, **_ORACLE}

@@ -82,13 +82,6 @@ def _(spark, sf):
     return n.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("q02_invariance", "select count(*) as changed from (select l_orderkey, l_linenumber, l_quantity from lineitem) a full join (select l_orderkey, l_linenumber, max(l_quantity) as q from lineitem group by 1, 2) b using (l_orderkey, l_linenumber) where l_quantity is distinct from q")
-def _(spark, sf):
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")  # noqa: E741
-    b = l.groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
-    return l.join(b, ["l_orderkey", "l_linenumber"], "full").filter(~F.col("l_quantity").eqNullSafe(F.col("q"))).agg(F.count("*").alias("changed"))
-
-
 _ROADS = "with s as (select l_orderkey * 100 + l_linenumber as id, (l_partkey % 500) * 10 as x0, (l_partkey % 500) * 10 + 50 + cast(l_quantity as bigint) * 5 as x1, l_orderkey % 200 as b, (l_linenumber * 7) % 20 as y from lineitem)"
 
 
