@@ -89,5 +89,5 @@ def _(spark, sf):
 def _(spark, sf):
     f = table(spark, sf, "features")
     p = F.coalesce(lookup(F.col("agency"), {"NPS": 0, "USFS": 1, "Recreation.gov": 2, "USGS GNIS": 3, "GeoNames": 4}), F.lit(5))
-    one = f.filter("id is not null").groupBy("id").agg(*(F.first(c, True).alias(c) for c in ("name", "kind", "lon", "lat", "gnis_id", "match_ambiguous")), F.min(p).alias("precedence"))
+    one = f.filter("id is not null").groupBy("id").agg(*(F.min_by(c, F.struct(F.col(c).isNull(), "ingested_at", F.xxhash64("name", "kind", "lon", "lat"))).alias(c) for c in ("name", "kind", "lon", "lat", "gnis_id", "match_ambiguous")), F.min(p).alias("precedence"))
     return canonical.canonicalize(match.keyed(one))

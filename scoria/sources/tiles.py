@@ -5,7 +5,6 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
-import os
 import struct
 import zlib
 
@@ -154,24 +153,42 @@ def read_terrarium_png(blob: bytes) -> np.ndarray:
     return rgb[..., 0] * 256 + rgb[..., 1] + rgb[..., 2] / 256 - 32768
 
 
+def _files(spark, root: str):
+    """The JVM, the file system of a folder or address, and its places by name."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(folder.getFileSystem(conf).makeQualified(folder).toUri(), conf)
+    return jvm, files, lambda name: files.makeQualified(jvm.org.apache.hadoop.fs.Path(folder, name))
+
+
+def current(spark, root: str) -> DataFrame:
+    """The version that the pointer names."""
+    version = json.loads(spark.read.text(f"{root}/current.json", wholetext=True).first()["value"])["version"]
+    return spark.read.parquet(f"{root}/{version}")
+
+
 def publish(df: DataFrame, root: str, version: str) -> dict:
     """Write a version's files, verify them by reading back, then move the pointer: readers see all or nothing.
 
-    A version is immutable: the same name with other contents is refused. `root` is a folder that driver and
+    A version is immutable: the same name with other contents is refused. `root` is a folder or address that driver and
     executors share.
     """
     path = f"{root}/{version}"
     digest = df.select(F.xxhash64(*df.columns).alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("h") % 1_000_003), F.lit(0)).alias("sum")).first().asDict()
-    if os.path.exists(f"{path}/_SUCCESS"):
-        back = df.sparkSession.read.parquet(path)
-    else:
+    jvm, files, at = _files(df.sparkSession, root)
+    if not files.util().exists(at(f"{version}/_SUCCESS")):
         df.write.mode("overwrite").parquet(path)
-        back = df.sparkSession.read.parquet(path)
+    back = df.sparkSession.read.parquet(path)
     again = back.select(F.xxhash64(*df.columns).alias("h")).agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.col("h") % 1_000_003), F.lit(0)).alias("sum")).first().asDict()
     if again != digest:
         raise ValueError(f"{version} holds other contents")
-    part = f"{root}/current.json.part"
-    with open(part, "w") as f:
-        json.dump({"version": version, **digest}, f, sort_keys=True)
-    os.replace(part, f"{root}/current.json")
+    pointer = json.dumps({"version": version, **digest}, sort_keys=True).encode()
+    flags, over = jvm.java.util.EnumSet, jvm.org.apache.hadoop.fs.CreateFlag
+    out = files.create(at("current.json.part"), flags.of(over.CREATE, over.OVERWRITE), df.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.CreateOpts, 0))
+    out.write(pointer)
+    out.close()
+    moves = df.sparkSession.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    moves[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    files.rename(at("current.json.part"), at("current.json"), moves)
     return digest
