@@ -62,3 +62,16 @@ def differing(a: DataFrame, b: DataFrame) -> DataFrame:
     rows = lambda df: df.select(F.to_json(F.struct(*sorted(df.columns)), {"ignoreNullFields": "false"}).alias("row"))
     a, b = rows(a), rows(b)
     return a.exceptAll(b).unionAll(b.exceptAll(a)).agg(F.count("*").alias("differing"))
+
+
+def mass(spans: DataFrame, row: str, start: str, length: str, at: str = "x") -> DataFrame:
+    """(row, at, mass): how many spans cover each cell of a row.
+
+    A span counts where it starts and where it ends; the running sum of these between two places is the mass of all cells
+    there. Spans are added up by place before they move, so that a row has as many entries as places.
+    """
+    edge = F.explode(F.array(F.struct(F.col(start).alias(at), F.lit(1).alias("d")), F.struct((F.col(start) + F.col(length)).alias(at), F.lit(-1).alias("d"))))
+    steps = spans.filter(F.col(length) > 0).select(row, edge.alias("e")).groupBy(row, F.col(f"e.{at}").alias("a")).agg(F.sum("e.d").alias("d"))
+    w = Window.partitionBy(row).orderBy("a")
+    runs = steps.select(row, "a", F.lead("a").over(w).alias("b"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("mass")).filter("mass > 0")
+    return runs.select(row, F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias(at), "mass")

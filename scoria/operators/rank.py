@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mercator import world_x, world_y
-from ..session import cut
+from ..session import cut, fresh, small, store
 from .classify import lookup
 
 # Weights of places to go to, kinds that are details, landmarks by zoom and score.
@@ -50,8 +50,19 @@ def landmark_score(kind: Column, min_zoom: Column) -> Column:
 
 
 def with_rank(df: DataFrame) -> DataFrame:
-    """Position within the family by falling score, then id, from 0."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy("family").orderBy(F.col("score").desc(), "id")) - 1)
+    """Position within the family by falling score, then id, from 0.
+
+    Families do not grow in number, so none is sorted by one task: rows are parted by ranges of the order, numbered within
+    their part, and shifted by the rows of the family in the parts before, of which there are few counts.
+    """
+    (part, before) = fresh(df, "part", "before")
+    order = [F.col("score").desc(), F.col("id")]
+    parted = store(df.repartitionByRange(F.col("family"), *order).withColumn(part, F.spark_partition_id()))
+    sizes = parted.groupBy("family", part).agg(F.count("*").alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy("family").orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col("family").alias("_family"), F.col(part).alias("_part"), F.coalesce(ahead, F.lit(0)).alias(before))
+    out = parted.join(small(sizes), F.col("family").eqNullSafe(F.col("_family")) & (F.col(part) == F.col("_part"))).drop("_family", "_part")
+    return out.withColumn("rank", (F.row_number().over(Window.partitionBy("family", part).orderBy(*order)) - 1 + F.col(before)).cast("int")).drop(part, before)
 
 
 def thin(df: DataFrame, spacing: float = 104, detail_spacing: float | None = None, zooms: range = range(6, 14)) -> DataFrame:

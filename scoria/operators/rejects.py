@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, fresh, small
+from ..session import cut, fits, fresh
 
 GNIS_FIELDS = (
     "feature_id", "feature_name", "feature_class", "state_name", "county_name", "map_name",
@@ -18,6 +18,8 @@ GNIS_FIELDS = (
 )
 
 _NUMBER = r"^[+-]?[0-9]+([.][0-9]+)?\z"
+#: Parts of the lines when the dictionary of bad values is too large to broadcast.
+SALTS = 16
 
 
 def valid_id(value: Column) -> Column:
@@ -97,13 +99,22 @@ def parse_lines(df: DataFrame, line: str = "raw_line", fields=GNIS_FIELDS, check
         ok = ok | ((F.col("c") == c) & check(F.col("v")))
     # The verdict hangs on `rows`, an aggregate: else it would be pushed below it, to every row.
     failed = F.when(F.col("rows") > 0, ~F.coalesce(ok, F.lit(False))).otherwise(False)
-    bad = small(cut(values.filter(failed).select("c", "v")))
+    bad = cut(values.filter(failed).select("c", "v"))
+    here = fits(bad)
+    # Beyond a broadcast, one bad value may be on a third of all lines: lines are spread over salts, and the dictionary goes to each.
+    (salt, salt_of) = fresh(out, "salt", "salt_of")
+    if not here:
+        out = out.withColumn(salt, F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)))
     reason = F.col(why)
     for name, c in zip(dup, checks):
-        side = bad.filter(F.col("c") == c).select(F.col("v").alias(name))
-        out = out.join(side, F.col(parsed)[c] == F.col(name), "left")
+        side, on = bad.filter(F.col("c") == c).select(F.col("v").alias(name)), F.col(parsed)[c] == F.col(name)
+        if here:
+            out = out.join(F.broadcast(side), on, "left")
+        else:
+            side = side.withColumn(salt_of, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+            out = out.join(side, on & (F.col(salt) == F.col(salt_of)), "left").drop(salt_of)
         reason = F.coalesce(reason, F.when(F.col(name).isNotNull(), F.lit(c)))
-    return out.withColumn(why, reason).drop(*dup)
+    return out.withColumn(why, reason).drop(*dup, salt)
 
 
 def split_rejects(df: DataFrame, line: str = "raw_line", **how) -> tuple[DataFrame, DataFrame]:

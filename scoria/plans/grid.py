@@ -203,14 +203,14 @@ def _(spark, sf):
     return table(spark, sf, "features").filter("id is not null").select("id", hashing.hashed_id53(F.col("id")).alias("fid"))
 
 
-_PAIR = f"""select a.id as id_a, b.id as id_b, a.lon as lon1, a.lat as lat1, b.lon as lon2, b.lat as lat2 from
-  (select distinct id, lon, lat, match_group from features where {_OK} and match_group is not null) a join
-  (select distinct id, lon, lat, match_group from features where {_OK} and match_group is not null) b on a.match_group = b.match_group and a.id < b.id"""
+_PAIR = f"select a.id as id_a, b.id as id_b, a.lon as lon1, a.lat as lat1, b.lon as lon2, b.lat as lat2 from (select * from (select *, row_number() over (partition by match_group order by id, lon, lat) as rn from (select distinct id, lon, lat, match_group from features where {_OK} and match_group is not null)) where rn = 1) a join (select distinct id, lon, lat, match_group from features where {_OK} and match_group is not null) b using (match_group) where a.id < b.id"
 
 
 def _pairs(spark, sf):
+    """Each record of a group with the group's lead, the one of the least id: as many pairs as records."""
     f = table(spark, sf, "features").filter(usable(F.col("lon"), F.col("lat")) & F.col("match_group").isNotNull()).select("id", "lon", "lat", "match_group").distinct()
-    a = f.select(F.col("id").alias("id_a"), F.col("lon").alias("lon1"), F.col("lat").alias("lat1"), "match_group")
+    lead = f.groupBy("match_group").agg(F.min(F.struct("id", "lon", "lat")).alias("l"))
+    a = lead.select(F.col("l.id").alias("id_a"), F.col("l.lon").alias("lon1"), F.col("l.lat").alias("lat1"), "match_group")
     b = f.select(F.col("id").alias("id_b"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"), "match_group")
     return a.join(b, "match_group").filter("id_a < id_b")
 

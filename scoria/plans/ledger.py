@@ -118,8 +118,7 @@ def _(spark, sf):
 @query("agg17_street_mass", "with s as (select (l_partkey % 500) * 10 as x0, 5 + l_quantity as steps, (l_orderkey % 200) as y from lineitem) select cast(x as bigint) as x, y, count(*) as mass from (select y, unnest(range(cast(x0 as bigint), cast(x0 + steps as bigint))) as x from s) group by 1, 2")
 def _(spark, sf):
     s = table(spark, sf, "lineitem").select(((F.col("l_partkey") % 500) * 10).alias("x0"), (5 + F.col("l_quantity")).cast("bigint").alias("steps"), (F.col("l_orderkey") % 200).alias("y"))
-    cells = s.select("y", F.explode(F.sequence(F.col("x0"), F.col("x0") + F.col("steps") - 1)).alias("x"))
-    return cells.groupBy("x", "y").agg(F.count("*").alias("mass"))
+    return ledger.mass(s, "y", "x0", "steps", "x")
 
 
 @query("agg18_developed", "with p as (select (o_custkey % 400) as x, (o_orderkey % 300) as y, 20 + o_orderkey % 30 as a from orders) select x, y, count(*) as parts, sum(a) as area, count(*) filter (a >= 25) >= 3 and sum(a) >= 100 as developed from p group by 1, 2")

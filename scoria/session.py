@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -55,12 +54,11 @@ def store(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark a materialized side for broadcast if its measured size allows it.
+def fits(df: DataFrame, limit: int | None = None) -> bool:
+    """Whether a materialized side is small enough to be broadcast, by its measured size.
 
     The size is an upper estimate from the rows' own text forms, in one aggregate over
-    data that is already cut or tiny. Beyond the limit the side stays as it is and the
-    join shuffles.
+    data that is already cut or tiny.
     """
     size = F.lit(0)
     for name, kind in df.dtypes:
@@ -72,7 +70,12 @@ def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
         else:
             size = size + F.coalesce(F.octet_length(F.to_json(F.struct(c))), F.lit(0)) * 2 + 24
     total = df.agg(F.sum(size.cast("bigint")).alias("b")).first()["b"] or 0
-    return F.broadcast(df) if total <= limit else df
+    return total <= (BROADCAST_BYTES if limit is None else limit)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """Mark a materialized side for broadcast if its measured size allows it; beyond the limit the join shuffles."""
+    return F.broadcast(df) if fits(df) else df
 
 
 def fresh(df: DataFrame, *wanted: str) -> list[str]:
@@ -84,8 +87,3 @@ def fresh(df: DataFrame, *wanted: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
-
-
-def slots(spark: SparkSession) -> int:
-    """Tasks to make of a narrow stage whose input is small but whose work is not."""
-    return max(spark.sparkContext.defaultParallelism, int(os.environ.get("SCORIA_MIN_TASKS", "0")))

@@ -80,3 +80,29 @@ def test_terrarium_round_trip(spark):
     t = raster.terrarium(F.col("h"))
     got = [r[0] for r in df.select(raster.from_terrarium(t["red"], t["green"], t["blue"])).collect()]
     assert all(abs(a - b) <= 1 / 512 for a, b in zip(got, [-32768, -12.25, 0, 8848.86])) and 32767.9 < got[4] < 32768
+
+
+def test_rank_of_one_large_family(spark):
+    """All rows in one family, with ties: positions as by one sort, from parts of the order."""
+    from scoria.operators.rank import with_rank
+
+    rows = [(f"i{(k * 7919) % 5000:05d}", "f" if k % 50 else None, float(k % 37)) for k in range(5000)]
+    df = spark.createDataFrame(rows, "id string, family string, score double").selectExpr("*", "1 as part")
+    out = with_rank(df)
+    assert out.columns == [*df.columns, "rank"]
+    got = {(r["family"], r["id"]): r["rank"] for r in out.collect()}
+    for family in ("f", None):
+        want = [(f, i) for i, f, s in sorted((x for x in rows if x[1] == family), key=lambda x: (-x[2], x[0]))]
+        assert [got[w] for w in want] == list(range(len(want)))
+
+
+def test_mass_like_counting(spark):
+    from scoria.operators.ledger import mass
+
+    spans = [(k % 3, (k * 13) % 50, k % 9) for k in range(200)] + [(9, 5, 0)]
+    want = {}
+    for r, s, n in spans:
+        for x in range(s, s + n):
+            want[r, x] = want.get((r, x), 0) + 1
+    df = spark.createDataFrame(spans, "r long, s long, n long")
+    assert {(x["r"], x["x"]): x["mass"] for x in mass(df, "r", "s", "n").collect()} == want

@@ -92,3 +92,18 @@ def test_empty_table(spark):
     df = spark.createDataFrame([], "line_id int, raw_line string")
     good, bad = split_rejects(df)
     assert good.count() == 0 and bad.count() == 0
+
+
+def test_large_dictionary_is_joined_in_salts(spark, monkeypatch):
+    """Where the bad values do not fit a broadcast, lines with one bad value are spread, and the verdicts are the same."""
+    from scoria import session
+    from scoria.operators.rejects import parse_lines
+
+    line = "{}|N|C|S|K|M|||{}|1.5"
+    rows = [(i, line.format("x" if i % 3 == 0 else i + 1, "95" if i % 7 == 0 else "1.0")) for i in range(600)]
+    df = spark.createDataFrame(rows, "line_id long, raw_line string").selectExpr("*", "1 as salt", "2 as salt_of")
+    want = {r["line_id"]: r["reason"] for r in parse_lines(df).collect()}
+    monkeypatch.setattr(session, "BROADCAST_BYTES", -1)
+    out = parse_lines(df)
+    assert {r["line_id"]: r["reason"] for r in out.collect()} == want and out.columns[:4] == df.columns and len(out.columns) == 6
+    assert want[0] == "feature_id" and want[7] == "prim_lat_dec" and want[1] is None
