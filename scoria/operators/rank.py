@@ -55,13 +55,13 @@ def with_rank(df: DataFrame) -> DataFrame:
     Families do not grow in number, so none is sorted by one task: rows are parted by ranges of the order, numbered within
     their part, and shifted by the rows of the family in the parts before, of which there are few counts.
     """
-    (part, before) = fresh(df, "part", "before")
+    part, before, of, at = fresh(df, "part", "before", "of_family", "at_part")
     order = [F.col("score").desc(), F.col("id")]
     parted = store(df.repartitionByRange(F.col("family"), *order).withColumn(part, F.spark_partition_id()))
     sizes = parted.groupBy("family", part).agg(F.count("*").alias("n"))
     ahead = F.sum("n").over(Window.partitionBy("family").orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select(F.col("family").alias("_family"), F.col(part).alias("_part"), F.coalesce(ahead, F.lit(0)).alias(before))
-    out = parted.join(small(sizes), F.col("family").eqNullSafe(F.col("_family")) & (F.col(part) == F.col("_part"))).drop("_family", "_part")
+    sizes = sizes.select(F.col("family").alias(of), F.col(part).alias(at), F.coalesce(ahead, F.lit(0)).alias(before))
+    out = parted.join(small(sizes), F.col("family").eqNullSafe(F.col(of)) & (F.col(part) == F.col(at))).drop(of, at)
     return out.withColumn("rank", (F.row_number().over(Window.partitionBy("family", part).orderBy(*order)) - 1 + F.col(before)).cast("int")).drop(part, before)
 
 
