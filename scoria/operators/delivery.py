@@ -59,3 +59,14 @@ def waterways(lines: DataFrame, tags: DataFrame) -> DataFrame:
     at = lines.withColumn("way", packed_way_id(F.col("packed")))
     j = at.join(tags, "way", "left")
     return j.select("id", "way", flow(F.col("intermittent"), F.col("seasonal")).alias("flow"))
+
+
+def meets(west: Column, south: Column, east: Column, north: Column, extent: tuple[float, float, float, float]) -> Column:
+    """Whether bounds meet an extent (west, south, east, north), edges with it."""
+    w, s, e, n = extent
+    return (east >= w) & (west <= e) & (north >= s) & (south <= n)
+
+
+def world_wrapped(lon: Column) -> Column:
+    """A longitude as a fraction of the world, whatever turns it has made."""
+    return F.pmod(m.world_x(lon), F.lit(1.0))

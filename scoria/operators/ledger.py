@@ -75,3 +75,28 @@ def mass(spans: DataFrame, row: str, start: str, length: str, at: str = "x") ->
     w = Window.partitionBy(row).orderBy("a")
     runs = steps.select(row, "a", F.lead("a").over(w).alias("b"), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("mass")).filter("mass > 0")
     return runs.select(row, F.explode(F.sequence(F.col("a"), F.col("b") - 1)).alias(at), "mass")
+
+
+def two_limits(requests: DataFrame, key: list[str], order: list[str], short: Column, short_limit: int, long: Column, long_limit: int) -> DataFrame:
+    """Requests with `granted`: each is one unit of a limit for a short time and one for a long time; what is refused uses neither.
+
+    As all ask for one unit, those of a short time beyond its limit are refused whatever came before, and of the rest those
+    beyond the long limit: two windows do what a fold would.
+    """
+    r = requests.withColumn("_short", short).withColumn("_long", long)
+    nth = F.row_number().over(Window.partitionBy(*key, "_short").orderBy(*order))
+    r = r.withColumn("_fits", (nth <= short_limit).cast("int"))
+    used = F.sum("_fits").over(Window.partitionBy(*key, "_long").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return r.withColumn("granted", (F.col("_fits") == 1) & (used <= long_limit)).drop("_short", "_long", "_fits")
+
+
+def viewport_queue(tiles: DataFrame, now: Column, ttl_s: int, cooldown_s: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(waiting, dropped): tiles (tile, seen, failed) to be warmed, newest first with their place, and how many beyond the bound are dropped.
+
+    A tile looked at too long ago, or failed too lately, does not wait. The bound is the feature: a queue holds no more.
+    """
+    ago = lambda s: now - F.make_dt_interval(secs=F.lit(s))
+    fresh_ = tiles.filter((F.col("seen") >= ago(ttl_s)) & (F.col("failed").isNull() | (F.col("failed") < ago(cooldown_s))))
+    first = fresh_.orderBy(F.col("seen").desc(), "tile").limit(most)
+    waiting = first.withColumn("pos", F.row_number().over(Window.orderBy(F.col("seen").desc(), "tile")))  # of at most `most` rows
+    return waiting, fresh_.agg(F.greatest(F.count("*") - most, F.lit(0)).alias("dropped"))

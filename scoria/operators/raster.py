@@ -58,3 +58,22 @@ def chunk_keys(x0: Column, x1: Column, y0: Column, y1: Column, chunk: int = 1024
     xs = F.sequence(F.floor((x0 - halo) / chunk), F.floor((x1 + halo - 1) / chunk))
     ys = F.sequence(F.floor((y0 - halo) / chunk), F.floor((y1 + halo - 1) / chunk))
     return F.flatten(F.transform(xs, lambda i: F.transform(ys, lambda j: F.struct(i.alias("cx"), j.alias("cy")))))
+
+
+def mosaic(chunks: DataFrame, key: list[str], side: int, rows: tuple[int, int], columns: tuple[int, int]) -> DataFrame:
+    """(key, r, c, v) of a window, both ends with it, over chunks (cy, cx, r, c, v) of a side each."""
+    at = chunks.select(*key, (F.col("cy") * side + F.col("r")).alias("r"), (F.col("cx") * side + F.col("c")).alias("c"), "v")
+    return at.filter(F.col("r").between(*rows) & F.col("c").between(*columns))
+
+
+def resampled(cells: DataFrame, fx: float, fy: float, coarse: DataFrame) -> DataFrame:
+    """(id, r, c, v): the value a part of a cell east and south of each, between its four neighbours, where all four cells are in the grid.
+
+    A missing neighbour leaves no value of its own; there the coarse one (id, coarse) is taken.
+    """
+    east = F.lead(F.struct("v")).over(Window.partitionBy("id", "r").orderBy("c"))
+    row = cells.withColumn("_e", east).withColumn("_row", F.struct(F.col("v"), F.col("_e")))
+    south = F.lead("_row").over(Window.partitionBy("id", "c").orderBy("r"))
+    four = row.withColumn("_s", south).filter("_e is not null and _s is not null")
+    v = bilinear(F.col("v"), F.col("_e.v"), F.col("_s.v"), F.col("_s._e.v"), F.lit(fx), F.lit(fy))
+    return four.select("id", "r", "c", v.alias("fine")).join(coarse, "id", "left").select("id", "r", "c", F.coalesce("fine", "coarse").alias("v"))

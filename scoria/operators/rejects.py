@@ -111,7 +111,7 @@ def parse_lines(df: DataFrame, line: str = "raw_line", fields=GNIS_FIELDS, check
         if here:
             out = out.join(F.broadcast(side), on, "left")
         else:
-            side = side.withColumn(salt_of, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("bigint"))
+            side = side.withColumn(salt_of, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
             out = out.join(side, on & (F.col(salt) == F.col(salt_of)), "left").drop(salt_of)
         reason = F.coalesce(reason, F.when(F.col(name).isNotNull(), F.lit(c)))
     return out.withColumn(why, reason).drop(*dup, salt)

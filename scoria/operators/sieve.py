@@ -5,6 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.geometry import box, g, register
 
 
 def label(grid: np.ndarray) -> np.ndarray:
@@ -75,3 +78,25 @@ def regions(cells: DataFrame) -> DataFrame:
         return out.assign(id=pdf["id"].iloc[0])[["id", "region", "v", "pixels", "sides"]]
 
     return cells.groupBy("id").applyInPandas(one, "id bigint, region bigint, v int, pixels bigint, sides bigint")
+
+
+def polygons(cells: DataFrame, tolerance: float = 0.25) -> DataFrame:
+    """(id, region, v, shape) of regions of equal values as areas in cell sides, simplified by a part of one.
+
+    Cells of a row that touch are one rectangle before they are joined, so that a region is few shapes.
+    """
+    register(cells.sparkSession)
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        grid = _grid(pdf)
+        lab = label(grid)
+        start = np.ones_like(lab, bool)
+        start[:, 1:] = lab[:, 1:] != lab[:, :-1]
+        r, c = np.nonzero(start)
+        end = np.append(c[1:], 0)
+        end = np.where(np.append(r[1:] == r[:-1], False), end, lab.shape[1])
+        return pd.DataFrame({"id": pdf["id"].iloc[0], "region": lab[r, c], "v": grid[r, c], "r": r, "c0": c, "c1": end})
+
+    runs = cells.groupBy("id").applyInPandas(one, "id bigint, region bigint, v int, r int, c0 int, c1 int")
+    shapes = runs.groupBy("id", "region", "v").agg(g("Union", F.collect_list(box(F.col("c0"), F.col("r"), F.col("c1"), F.col("r") + 1))).alias("shape"))
+    return shapes.withColumn("shape", g("Rounded", F.col("shape"), tolerance, 6))

@@ -110,3 +110,8 @@ def render_order(requests: DataFrame, slots: int) -> DataFrame:
     """Requests (id, at, background) with the turn in which they get one of some slots: those of people first, then by time."""
     at = F.row_number().over(Window.partitionBy("gate").orderBy(F.col("background").cast("int"), "at", "id")) - 1
     return requests.withColumn("turn", F.floor(at / slots))
+
+
+def may_warm(free: Column, floor: Column, active: Column, quiet_s: Column, least_quiet_s: float) -> Column:
+    """Whether tiles may be warmed: with disk to spare, nobody at work, and quiet for a while."""
+    return F.when(free < floor, False).when(active, False).otherwise(quiet_s >= least_quiet_s)

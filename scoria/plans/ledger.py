@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.names import plain_name
-from ..operators import ledger, raster
+from ..operators import audit, ledger, lines, raster
 from ..operators.classify import lookup
 from ..session import small, table
 from .registry import query
@@ -351,13 +351,14 @@ def _(spark, sf):
     return p.join(_dem(spark, sf), ["id", "r", "c"], "left").select("p_partkey", "v")
 
 
-@query("q05_recommend", """with m as (select l_orderkey, l_linenumber, l_discount * 10 as cov, l_quantity as novel, l_tax * 100 as p90, 1 + l_discount as ratio, l_linenumber as density from lineitem)
-  select l_orderkey, l_linenumber, case when cov < 0.65 then 'uncertain' when novel > 40 and p90 > 5 then 'partial' when cov > 0.9 and ratio < 1.08 then 'prefer' when density >= 3 and ratio < 1.3 then 'prefer' else 'uncertain' end as choice from m""")
+@query("q05_recommend", """with m as (select l_orderkey, l_linenumber, l_discount * 20 as cov, l_quantity * 10 as novel, l_extendedprice / 500 as p90, l_suppkey % 4 = 0 as loose, 1 - l_tax * 2 as same, 1 + l_discount * 4 as ratio, l_linenumber * 0.5 as denser, l_partkey % 6 as turns from lineitem)
+  select l_orderkey, l_linenumber, case when cov < 0.65 then 'uncertain' when novel > 200 and (p90 > 75 or loose) then 'partial' when same > 0.9 and ratio < 1.08 or denser >= 1.7 and ratio < 1.3 and turns <= 3 then 'prefer' else 'uncertain' end as choice from m""")
 def _(spark, sf):
     c = F.col
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", (c("l_discount") * 10).alias("cov"), c("l_quantity").alias("novel"), (c("l_tax") * 100).alias("p90"), (1 + c("l_discount")).alias("ratio"), c("l_linenumber").alias("density"))  # noqa: E741
-    choice = F.when(c("cov") < 0.65, "uncertain").when((c("novel") > 40) & (c("p90") > 5), "partial").when((c("cov") > 0.9) & (c("ratio") < 1.08), "prefer").when((c("density") >= 3) & (c("ratio") < 1.3), "prefer").otherwise("uncertain")
-    return l.select("l_orderkey", "l_linenumber", choice.alias("choice"))
+    choice = audit.recommend(
+        c("l_discount") * 20, c("l_quantity") * 10, c("l_extendedprice") / 500, c("l_suppkey") % 4 == 0, 1 - c("l_tax") * 2, 1 + c("l_discount") * 4, c("l_linenumber") * 0.5, c("l_partkey") % 6
+    )
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", choice.alias("choice"))
 
 
 @query("q08_case_ids", "select distinct match_group, substr(sha256(match_group || ':' || kind), 1, 20) as case_id from features where match_group is not null")
@@ -518,17 +519,14 @@ def _(spark, sf):
 
 @query("x20_accuracy_circle", "with s as (select s_suppkey, radians(s_suppkey % 60) as lat, i, radians(i * 360.0 / 64) as b, 500 / 6371008.8 as d from supplier, (select unnest(range(65)) as i)) select s_suppkey, i, cast(floor(degrees(asin(sin(lat) * cos(d) + cos(lat) * sin(d) * cos(b))) * 1e6) as bigint) as lat6 from s")
 def _(spark, sf):
-    s = table(spark, sf, "supplier").select("s_suppkey", F.radians(F.col("s_suppkey") % 60).alias("lat"), F.explode(F.sequence(F.lit(0), F.lit(64))).alias("i"))
-    b, d = F.radians(F.col("i") * 360.0 / 64), F.lit(500 / 6371008.8)
-    lat = F.asin(F.sin("lat") * F.cos(d) + F.cos("lat") * F.sin(d) * F.cos(b))
-    return s.select("s_suppkey", "i", F.floor(F.degrees(lat) * 1e6).alias("lat6"))
+    ring = lines.accuracy_circle(F.lit(-110.0), (F.col("s_suppkey") % 60).cast("double"), F.lit(500.0))
+    s = table(spark, sf, "supplier").select("s_suppkey", F.posexplode(ring).alias("i", "p"))
+    return s.select("s_suppkey", "i", F.floor(F.col("p.lat") * 1e6).alias("lat6"))
 
 
 @query("x25_moving_time", "select o_orderkey, (s // 3600) || ':' || lpad(cast(s % 3600 // 60 as varchar), 2, '0') || ':' || lpad(cast(s % 60 as varchar), 2, '0') as shown from (select o_orderkey, cast(floor(o_totalprice) as bigint) as s from orders)")
 def _(spark, sf):
-    s = F.floor("o_totalprice").cast("bigint")
-    two = lambda c: F.lpad(c.cast("bigint").cast("string"), 2, "0")
-    return table(spark, sf, "orders").select("o_orderkey", F.concat_ws(":", F.floor(s / 3600).cast("string"), two(F.floor(s % 3600 / 60)), two(s % 60)).alias("shown"))
+    return table(spark, sf, "orders").select("o_orderkey", lines.moving_time_text(F.col("o_totalprice")).alias("shown"))
 
 
 @query("f14_upright", "select p_partkey, case when cos(radians(p_partkey % 360 - 45)) < 0 then (p_partkey % 360 + 180) % 360 else p_partkey % 360 end as angle from part")

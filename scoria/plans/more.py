@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import usable
-from ..operators import grid, match, raster, sieve
+from ..functions.geometry import g
+from ..operators import audit, delivery, grid, labels, ledger, lines, match, raster, sieve, transfer
 from ..session import table
 from .ledger import _DEM, _dem, _top
 from .match import _M, _OK
@@ -72,14 +73,12 @@ def _(spark, sf):
 _ENDS = "select l_orderkey * 10 + l_linenumber as id, l_linenumber % 3 as a, (l_partkey % 500) * 10 as x, l_orderkey % 200 as y from lineitem union all select l_orderkey * 10 + l_linenumber, l_linenumber % 3, (l_partkey % 500) * 10 + 50 + cast(l_quantity as bigint) * 5, l_orderkey % 200 from lineitem"
 
 
-@query("q01_connectivity", f"with e as ({_ENDS}), n as (select x, y, count(distinct id) as lines, count(distinct a) as sources from e group by 1, 2) select case when lines = 1 then 'dead end' when sources = 1 then 'duplicate terminus' else 'junction' end as kind, count(*) as n from n group by 1")
+@query("q01_connectivity", f"with e as ({_ENDS}), n as (select x, y, count(distinct id) as lines, count(distinct a) as sources from e group by 1, 2) select x, y, case when lines = 1 then 'dead end' when sources = 1 then 'duplicate terminus' else 'junction' end as kind from n")
 def _(spark, sf):
     l, c = table(spark, sf, "lineitem"), F.col  # noqa: E741
     x = (c("l_partkey") % 500) * 10
-    e = l.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), (c("l_linenumber") % 3).alias("a"), (c("l_orderkey") % 200).alias("y"), F.explode(F.array(x, x + 50 + c("l_quantity").cast("bigint") * 5)).alias("x"))
-    n = e.groupBy("x", "y").agg(F.countDistinct("id").alias("lines"), F.countDistinct("a").alias("sources"))
-    kind = F.when(c("lines") == 1, "dead end").when(c("sources") == 1, "duplicate terminus").otherwise("junction")
-    return n.groupBy(kind.alias("kind")).agg(F.count("*").alias("n"))
+    e = l.select((c("l_orderkey") * 10 + c("l_linenumber")).alias("id"), (c("l_linenumber") % 3).alias("source"), (c("l_orderkey") % 200).alias("y"), F.explode(F.array(x, x + 50 + c("l_quantity").cast("bigint") * 5)).alias("x"))
+    return audit.connectivity(e)
 
 
 _ROADS = "with s as (select l_orderkey * 100 + l_linenumber as id, (l_partkey % 500) * 10 as x0, (l_partkey % 500) * 10 + 50 + cast(l_quantity as bigint) * 5 as x1, l_orderkey % 200 as b, (l_linenumber * 7) % 20 as y from lineitem)"
@@ -90,12 +89,7 @@ def _(spark, sf):
     c = F.col
     x0 = (c("l_partkey") % 500) * 10
     s = table(spark, sf, "lineitem").select((c("l_orderkey") * 100 + c("l_linenumber")).alias("id"), x0.alias("x0"), (x0 + 50 + c("l_quantity").cast("bigint") * 5).alias("x1"), (c("l_orderkey") % 200).alias("b"), ((c("l_linenumber") * 7) % 20).alias("y"))
-    # Cells of 300 along the line, none shorter than a line: each pair meets in the cell where its overlap starts.
-    cells = F.explode(F.sequence(F.floor(c("x0") / 300), F.floor(c("x1") / 300))).alias("cell")
-    side = lambda n: s.select(c("b"), cells, *(c(k).alias(f"{k}_{n}") for k in ("id", "x0", "x1", "y")))
-    j = side("a").join(side("b"), ["b", "cell"]).filter("id_a < id_b and abs(y_a - y_b) <= 1").withColumn("shared", F.least("x1_a", "x1_b") - F.greatest("x0_a", "x0_b"))
-    j = j.filter(F.col("cell") == F.floor(F.greatest("x0_a", "x0_b") / 300))
-    return j.filter("shared >= 30 and shared * 10 >= least(x1_a - x0_a, x1_b - x0_b) * 7").select("id_a", "id_b", "shared")
+    return audit.parallel_pairs(s, "b", 1, 30, 0.7)
 
 
 @query("q04_conflict_triage", "select round(lon / 5) as cell, kind, count(distinct match_group) as groups from features where match_group is not null and lon is not null group by 1, 2")
@@ -104,10 +98,12 @@ def _(spark, sf):
     return f.groupBy(F.round(F.col("lon") / 5).alias("cell"), "kind").agg(F.countDistinct("match_group").alias("groups"))
 
 
-@query("q06_alignment", "select l_suppkey, cast(sum(l_quantity) as bigint) as length, cast(floor(quantile_cont(l_quantity, 0.5) * 100) as bigint) as spacing, count(*) filter (l_tax > 0.05) as reversals from lineitem group by 1")
+@query("q06_alignment", "with p as (select user_id, event_id, row_number() over w as x, floor(value) as y, lead(floor(value)) over w as ny from events window w as (partition by user_id order by ts, event_id)), s as (select user_id, sqrt(9 + (ny - y) * (ny - y)) as d from p where ny is not null) select user_id, cast(floor(sum(d) * 100 + 1e-6) as bigint) as length, cast(floor(quantile_cont(d, 0.5) * 1000 + 1e-6) as bigint) as spacing from s group by 1")
 def _(spark, sf):
-    l = table(spark, sf, "lineitem").groupBy("l_suppkey")  # noqa: E741
-    return l.agg(F.sum("l_quantity").cast("bigint").alias("length"), F.floor(F.percentile("l_quantity", F.lit(0.5)) * 100).alias("spacing"), F.count_if(F.col("l_tax") > 0.05).alias("reversals"))
+    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    p = table(spark, sf, "events").select("user_id", (rn * 3).alias("x"), F.floor("value").alias("y"))
+    a = audit.alignment(p, ["user_id"], "x")
+    return a.select("user_id", F.floor(F.col("length") * 100 + 1e-6).alias("length"), F.floor(F.col("spacing") * 1000 + 1e-6).alias("spacing"))
 
 
 @query("q07_review_inputs", f"select id, kind from (select distinct id, kind, cast(floor((lon + 180) / 360 * 16384) as bigint) as x from features where {_OK}) where x between 3000 and 4000")
@@ -124,26 +120,28 @@ def _(spark, sf):
     return p.join(d, "id", "left").groupBy(F.col("id").alias("cell"), covered.alias("covered")).agg(F.count("*").alias("labels"))
 
 
-@query("q13_seams", f"with d as ({_DEM}) select a.id, count(*) filter (a.v // 100 = b.v // 100) as same from d a join d b on b.id = a.id + 1 and a.r = b.r where a.c = 7 and b.c = 0 and a.v >= 0 and b.v >= 0 group by 1")
+@query("q13_seams", f"""with d as (select id, r, c, v, cast(floor(v / 100.0) as bigint) as k from ({_DEM})), n as (select *, lead(k) over (partition by id, c order by r) as below from d), x as (select id, c, r, unnest(range(least(k, below) + 1, greatest(k, below) + 1)) as level from n where below is not null and k <> below)
+  select e.id, count(*) as crossings, count(*) filter (w.id is null) as open from x e left join x w on w.id = e.id + 1 and w.r = e.r and w.level = e.level and w.c = 0 where e.c = 7 group by 1""")
 def _(spark, sf):
-    d = _dem(spark, sf).filter("v >= 0").withColumn("k", F.floor(F.col("v") / 100))
-    a = d.filter("c = 7").select("id", "r", F.col("k").alias("ka"))
-    b = d.filter("c = 0").select((F.col("id") - 1).alias("id"), "r", F.col("k").alias("kb"))
-    return a.join(b, ["id", "r"]).groupBy("id").agg(F.count_if(F.col("ka") == F.col("kb")).alias("same"))
+    return audit.seams(_dem(spark, sf), 8, 100)
 
 
-@query("r04_mosaic", f"with d as ({_DEM}) select id // 2 as pair, r, cast((id % 2) * 8 + c as int) as c, v from d where not (id % 2 = 1 and c < 1)")
+@query("r04_mosaic", f"with d as ({_DEM}) select id // 2 as pair, r, cast((id % 2) * 8 + c as int) as c, v from d where id // 2 >= 0 and (id % 2) * 8 + c between 3 and 12 and r between 1 and 6")
 def _(spark, sf):
     i = F.col("id")
-    return _dem(spark, sf).filter(~((i % 2 == 1) & (F.col("c") < 1))).select(F.floor(i / 2).alias("pair"), "r", (i % 2 * 8 + F.col("c")).cast("int").alias("c"), "v")
+    chunks = _dem(spark, sf).select(F.floor(i / 2).alias("pair"), F.lit(0).alias("cy"), (i % 2).alias("cx"), "r", "c", "v")
+    return raster.mosaic(chunks, ["pair"], 8, (1, 6), (3, 12)).select("pair", F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "v")
 
 
-@query("r09_resample", f"with d as ({_DEM}) select a.id, a.r, a.c, a.v + b.v + c.v + e.v as four from d a join d b on b.id = a.id and b.r = a.r and b.c = a.c + 1 join d c on c.id = a.id and c.r = a.r + 1 and c.c = a.c join d e on e.id = a.id and e.r = a.r + 1 and e.c = a.c + 1")
+@query("r09_resample", f"""with d as (select id, r, c, case when v > -80 then v end as v from ({_DEM})), m as (select id, floor(avg(v)) as coarse from d group by 1)
+  select a.id, a.r, a.c, cast(floor(coalesce(a.v * 0.375 + b.v * 0.125 + c.v * 0.375 + e.v * 0.125, coarse) * 8) as bigint) as v8 from d a join d b on b.id = a.id and b.r = a.r and b.c = a.c + 1
+  join d c on c.id = a.id and c.r = a.r + 1 and c.c = a.c join d e on e.id = a.id and e.r = a.r + 1 and e.c = a.c + 1 join m on m.id = a.id where coalesce(a.v * 0.375 + b.v * 0.125 + c.v * 0.375 + e.v * 0.125, coarse) is not null""")
 def _(spark, sf):
-    east = F.lead("v").over(Window.partitionBy("id", "r").orderBy("c"))
-    d = _dem(spark, sf).withColumn("e", east).withColumn("row", F.col("v") + F.col("e"))
-    south = F.lead("row").over(Window.partitionBy("id", "c").orderBy("r"))
-    return d.withColumn("four", F.col("row") + south).filter("four is not null").select("id", "r", "c", "four")
+    """Samples a quarter to the east and half to the south of each cell; what a missing neighbour leaves open takes the block's coarse value."""
+    d = _dem(spark, sf).withColumn("v", F.when(F.col("v") > -80, F.col("v")))
+    coarse = d.groupBy("id").agg(F.floor(F.avg("v")).alias("coarse"))
+    out = raster.resampled(d, 0.25, 0.5, coarse).filter("v is not null")
+    return out.select("id", "r", "c", F.floor(F.col("v") * 8).cast("bigint").alias("v8"))
 
 
 @query("r12_sieve")
@@ -153,10 +151,11 @@ def _(spark, sf):
     return sieve.sieved(codes, 4)
 
 
-@query("r13_polygons", f"with d as (select id, r, c, case when v > 60 then 41 when v < -60 then 21 else 71 end as code from ({_DEM})) select id, code, count(*) as pixels from d group by 1, 2")
+@query("r13_polygons", f"with d as (select id, r, c, case when v > 60 then 41 when v < -60 then 21 else 71 end as code from ({_DEM})) select id, code, cast(count(*) as bigint) as area from d group by 1, 2")
 def _(spark, sf):
     codes = _dem(spark, sf).select("id", "r", "c", F.when(F.col("v") > 60, 41).when(F.col("v") < -60, 21).otherwise(71).alias("v"))
-    return sieve.regions(codes).groupBy("id", F.col("v").alias("code")).agg(F.sum("pixels").alias("pixels"))
+    p = sieve.polygons(codes)
+    return p.groupBy("id", F.col("v").alias("code")).agg(F.round(F.sum(g("Area", F.col("shape")))).cast("bigint").alias("area"))
 
 
 @query("r19_device_coverage", f"with d as ({_DEM}) select p_partkey, exists(select 1 from d where d.id = p_partkey % 700 and v > 300) as covered from part")
@@ -171,16 +170,21 @@ def _(spark, sf):
     return table(spark, sf, "landmarks").groupBy("kind", "state_name").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "kind", "state_name").limit(25)
 
 
-@query("st08_edge_quota", "select user_id, strftime(ts, '%Y-%m') as month, count(*) as requests, count(distinct date_trunc('minute', ts)) as minutes from events group by 1, 2")
+@query("st08_edge_quota", "with e as (select user_id, event_id, ts, row_number() over (partition by user_id, date_trunc('hour', ts) order by ts, event_id) as m from events), g as (select *, sum(case when m <= 3 then 1 else 0 end) over (partition by user_id, strftime(ts, '%Y-%m') order by ts, event_id) as total from e) select event_id, m <= 3 and total <= 40 as granted from g")
 def _(spark, sf):
-    e = table(spark, sf, "events").groupBy("user_id", F.date_format("ts", "yyyy-MM").alias("month"))
-    return e.agg(F.count("*").alias("requests"), F.countDistinct(F.date_trunc("minute", "ts")).alias("minutes"))
+    """At most three requests an hour and forty a month; what is refused uses nothing."""
+    return ledger.two_limits(table(spark, sf, "events"), ["user_id"], ["ts", "event_id"], F.date_trunc("hour", F.col("ts")), 3, F.date_format("ts", "yyyy-MM"), 40).select("event_id", "granted")
 
 
-@query("st09_viewport_queue", "with r as (select event_id, user_id % 20 as tile, ts, row_number() over (partition by user_id % 20 order by ts desc, event_id desc) as rn from events) select tile, event_id from r where rn = 1")
+@query("st09_viewport_queue", """with n as (select max(ts) as now from events), r as (select event_id % 500 as tile, max(ts) as seen, max(case when event_type = 'error' then ts end) as failed from events group by 1),
+  w as (select tile, seen, row_number() over (order by seen desc, tile) as pos from r, n where seen >= now - interval 20 day and (failed is null or failed < now - interval 5 day)) select tile, cast(pos as int) as pos from w where pos <= 64""")
 def _(spark, sf):
-    e = table(spark, sf, "events").groupBy((F.col("user_id") % 20).alias("tile"))
-    return e.agg(F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"))
+    """Tiles looked at in the last twenty days and not failed in the last five, newest first, the 64 that may wait."""
+    e = table(spark, sf, "events")
+    seen = e.groupBy((F.col("event_id") % 500).alias("tile")).agg(F.max("ts").alias("seen"), F.max(F.when(F.col("event_type") == "error", F.col("ts"))).alias("failed"))
+    now = e.agg(F.max("ts")).first()[0]
+    waiting, _ = ledger.viewport_queue(seen, F.lit(now), 20 * 86400, 5 * 86400, 64)
+    return waiting.select("tile", "pos")
 
 
 @query("l13_extent_halo", "select osm_id, dx from (select distinct osm_id, floor(lon * 10) as cx from osm_elements where lon is not null) , (select unnest([-1, 0, 1]) as dx)")
@@ -189,29 +193,28 @@ def _(spark, sf):
     return o.select("osm_id", F.explode(F.array(*(F.lit(i) for i in (-1, 0, 1)))).alias("dx"))
 
 
-@query("w13_label_zoom", "select area_id, (select min(z) / 10.0 from (select unnest(range(50, 221)) as z) where (east - west) * pow(2, z / 10.0) * 512 / 360 >= length(name) * 0.68 * 12) as zoom from areas")
+@query("w13_label_zoom", "select area_id, (select min(z) / 10.0 from (select unnest(range(50, 221)) as z) where (east - west) / 360 * pow(2, z / 10.0) * 512 >= length(name) * 0.68 * 12) as zoom from areas")
 def _(spark, sf):
-    need = F.length("name") * 0.68 * 12
-    z = F.filter(F.sequence(F.lit(50), F.lit(220)), lambda z: (F.col("east") - F.col("west")) * F.pow(F.lit(2.0), z / 10.0) * 512 / 360 >= need)
-    return table(spark, sf, "areas").select("area_id", (F.get(z, F.lit(0)) / 10.0).alias("zoom"))
+    return table(spark, sf, "areas").select("area_id", labels.label_zoom((F.col("east") - F.col("west")) / 360, F.col("name")).alias("zoom"))
 
 
-@query("w14_declutter", "with p as (select distinct osm_id, round(lon, 3) as x, round(lat, 3) as y from osm_elements), r as (select *, row_number() over (partition by x, y order by osm_id) - 1 as slot from p) select osm_id, slot from r")
+@query("w14_declutter", "with p as (select distinct osm_id, round(lon, 3) as x, round(lat, 3) as y from osm_elements), r as (select *, row_number() over (partition by x, y order by osm_id) - 1 as slot from p) select osm_id, slot, cast(floor(sqrt(slot) * 20 * cos(slot * 2.399963229728653) * 1000 + 0.5) as bigint) as dx from r")
 def _(spark, sf):
-    p = table(spark, sf, "osm_elements").select("osm_id", F.round("lon", 3).alias("x"), F.round("lat", 3).alias("y")).distinct()
-    return p.select("osm_id", (F.row_number().over(Window.partitionBy("x", "y").orderBy("osm_id")) - 1).alias("slot"))
+    p = table(spark, sf, "osm_elements").select(F.col("osm_id").alias("id"), F.round("lon", 3).alias("x"), F.round("lat", 3).alias("y")).distinct()
+    return labels.apart(p, F.col("x"), F.col("y")).select(F.col("id").alias("osm_id"), "slot", F.floor(F.col("dx") * 1000 + 0.5).alias("dx"))
 
 
-@query("x02_warm_gate", "select o_orderkey, o_totalprice > 100000 and o_orderstatus <> 'O' and o_custkey % 10 > 2 as warm from orders")
+@query("x02_warm_gate", "select o_orderkey, case when o_totalprice < 100000 then false when o_orderstatus = 'O' then false else o_custkey % 100 >= 30 end as warm from orders")
 def _(spark, sf):
     c = F.col
-    return table(spark, sf, "orders").select("o_orderkey", ((c("o_totalprice") > 100000) & (c("o_orderstatus") != "O") & (c("o_custkey") % 10 > 2)).alias("warm"))
+    warm = transfer.may_warm(c("o_totalprice"), F.lit(100_000.0), c("o_orderstatus") == "O", (c("o_custkey") % 100).cast("double"), 30.0)
+    return table(spark, sf, "orders").select("o_orderkey", warm.alias("warm"))
 
 
 @query("x05_extent", "select area_id, not (east < -120 or west > -100 or north < 30 or south > 45) as covered from areas")
 def _(spark, sf):
     c = F.col
-    return table(spark, sf, "areas").select("area_id", (~((c("east") < -120) | (c("west") > -100) | (c("north") < 30) | (c("south") > 45))).alias("covered"))
+    return table(spark, sf, "areas").select("area_id", delivery.meets(c("west"), c("south"), c("east"), c("north"), (-120.0, 30.0, -100.0, 45.0)).alias("covered"))
 
 
 @query("x07_street_filter", "select l_orderkey, l_linenumber from lineitem where ['residential', 'track', 'primary', 'path', 'living_street'][1 + l_partkey % 5] in ('residential', 'unclassified', 'tertiary', 'secondary', 'primary', 'motorway', 'trunk', 'living_street')")
@@ -228,11 +231,11 @@ def _(spark, sf):
 @query("x18_world_wrap", "select id, cast(floor(((lon + 180) / 360 - floor((lon + 180) / 360)) * 1e6) as bigint) as x from (select distinct id, lon from facilities where lon is not null)")
 def _(spark, sf):
     f = table(spark, sf, "facilities").filter("lon is not null").select("id", "lon").distinct()
-    return f.select("id", F.floor(F.pmod((F.col("lon") + 180) / 360, F.lit(1.0)) * 1e6).alias("x"))
+    return f.select("id", F.floor(delivery.world_wrapped(F.col("lon")) * 1e6).alias("x"))
 
 
 @query("x29_resample", "with s as (select l_orderkey * 100 + l_linenumber as id, 50 + cast(l_quantity as bigint) * 5 as len from lineitem) select id, cast(ceil(len / 25.0) as bigint) as points from s")
 def _(spark, sf):
     n = 50 + F.col("l_quantity").cast("bigint") * 5
-    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.size(F.filter(F.sequence(F.lit(0).cast("bigint"), n, F.lit(25).cast("bigint")), lambda d: d < n)).cast("bigint").alias("points"))
+    return table(spark, sf, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("id"), F.size(lines.stations(n)).cast("bigint").alias("points"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import canonical, match
+from ..operators import canonical, lines, match
 from ..operators.classify import lookup
 from ..session import table
 from ..streaming import track
@@ -50,39 +50,37 @@ def _(spark, sf):
 
 @query("st04_sessions", f"with {_TRACK}, g as (select *, case when lag(segment) over w is distinct from segment or time_ms - lag(time_ms) over w > 30000 then 1 else 0 end as new from track window w as (partition by device order by time_ms)) select device, sum(new) as sessions, count(*) as fixes from g group by 1")
 def _(spark, sf):
-    w = Window.partitionBy("device").orderBy("time_ms")
-    new = ~F.lag("segment").over(w).eqNullSafe(F.col("segment")) | (F.col("time_ms") - F.lag("time_ms").over(w) > 30000)
-    return fixes(spark, sf).withColumn("new", F.coalesce(new, F.lit(True)).cast("int")).groupBy("device").agg(F.sum("new").alias("sessions"), F.count("*").alias("fixes"))
+    return lines.sessions(fixes(spark, sf), ["device"], "segment", "time_ms")
 
 
 @query("w12_fix_deltas", f"with {_TRACK} select device, rn, time_ms - lag(time_ms) over (partition by device, segment order by rn) as dt from track")
 def _(spark, sf):
-    w = Window.partitionBy("device", "segment").orderBy("rn")
-    return fixes(spark, sf).select("device", "rn", (F.col("time_ms") - F.lag("time_ms").over(w)).alias("dt"))
+    return lines.deltas(fixes(spark, sf), ["device"], "segment", "rn", "time_ms").select("device", "rn", "dt")
 
 
 @query("w09_segment_pairs", f"with {_TRACK} select device, rn, cast(floor((lead(x) over w - x) * 1e6 + 0.5) as bigint) as dx from track window w as (partition by device order by rn)")
 def _(spark, sf):
-    w = Window.partitionBy("device").orderBy("rn")
-    return fixes(spark, sf).select("device", "rn", F.floor((F.lead("x").over(w) - F.col("x")) * 1e6 + 0.5).alias("dx"))
+    p = lines.pairs(fixes(spark, sf), ["device"], "rn", ["x"])
+    return p.select("device", "rn", F.floor((F.col("next_x") - F.col("x")) * 1e6 + 0.5).alias("dx"))
 
 
-@query("w10_reversals", f"with {_TRACK}, p as (select device, rn, lead(accuracy, 1) over w - accuracy as a, lead(accuracy, 2) over w - lead(accuracy, 1) over w as b from track window w as (partition by device order by rn)) select device, count(*) filter (a * b < 0) as reversals from p group by 1")
+@query("w10_reversals", f"""with {_TRACK}, p as (select device, 3 as ax, lead(accuracy, 1) over w - accuracy as ay, 3 as bx, lead(accuracy, 2) over w - lead(accuracy, 1) over w as b2 from track window w as (partition by device order by rn))
+  select device, count(*) filter ((ax * bx + ay * b2) / sqrt((ax * ax + ay * ay) * (bx * bx + b2 * b2)) <= cos(radians(120)) + 1e-9) as reversals from p group by 1""")
 def _(spark, sf):
-    w = Window.partitionBy("device").orderBy("rn")
-    a, b = F.lead("accuracy", 1).over(w) - F.col("accuracy"), F.lead("accuracy", 2).over(w) - F.lead("accuracy", 1).over(w)
-    return fixes(spark, sf).select("device", (a * b).alias("p")).groupBy("device").agg(F.count_if(F.col("p") < 0).alias("reversals"))
+    """Turns by 120 degrees of the line of accuracies, three units a fix."""
+    f = fixes(spark, sf).select("device", "rn", (F.col("rn") * 3).alias("x"), F.col("accuracy").alias("y"))
+    return lines.reversals(f, ["device"], "rn")
 
 
-@query("w11_grade", f"with {_TRACK} select device, rn, cast(lead(z, 2) over w - z as bigint) as rise from track window w as (partition by device order by rn)")
+@query("w11_grade", f"with {_TRACK} select device, rn, cast(floor((lead(z, 2) over w - z) / 50 * 1000 + 1e-6) as bigint) as grade from track window w as (partition by device order by rn)")
 def _(spark, sf):
-    w = Window.partitionBy("device").orderBy("rn")
-    return fixes(spark, sf).select("device", "rn", (F.lead("z", 2).over(w) - F.col("z")).cast("bigint").alias("rise"))
+    return lines.grades(fixes(spark, sf), ["device"], "rn", "z").select("device", "rn", F.floor(F.col("grade") * 1000 + 1e-6).alias("grade"))
 
 
-@query("x23_fix_mapping", "select event_id, case when value > 90 then null else value end as speed from events")
+@query("x23_fix_mapping", "select event_id, case when event_id % 9 = 0 or event_id % 11 = 0 then null else value end as speed from events")
 def _(spark, sf):
-    return table(spark, sf, "events").select("event_id", F.when(F.col("value") > 90, F.lit(None)).otherwise(F.col("value")).alias("speed"))
+    v = F.when(F.col("event_id") % 9 == 0, F.lit(float("nan"))).when(F.col("event_id") % 11 == 0, F.lit(float("-inf"))).otherwise(F.col("value"))
+    return table(spark, sf, "events").select("event_id", lines.finite(v).alias("speed"))
 
 
 @query("j08_canonicalize")
