@@ -80,13 +80,13 @@ def _(spark, sf):
     return a.select("area_id", (F.col("x.length") / F.col("x.width") >= 1.4).alias("elongated"), _round(F.col("x.length"), 1e5).alias("length"))
 
 
-@query("g10_coast_water")
+@query("g10_coast_water", "select area_id, cast(round((east - west) / 2 * (north - south) * 1e6) as bigint) as water from areas")
 def _(spark, sf):
     a = _areas(spark, sf)
     mid = (F.col("west") + F.col("east")) / 2
     p = lambda y: F.struct(mid.alias("x"), y.alias("y"))
     coast = line(F.array(p(F.col("south") - 1), p(F.col("north") + 1)))  # northward: water in the east half
-    return a.select("area_id", F.round(g("Area", g("CoastWater", F.array(coast), F.col("shape"))), 6).alias("water"))
+    return a.select("area_id", _round(g("Area", g("CoastWater", F.array(coast), F.col("shape"))), 1e6).alias("water"))
 
 
 @query("g11_relation", "select area_id, cast(round((east - west) * (north - south) * 0.75 * 1e6) as bigint) as a from areas")
@@ -133,10 +133,13 @@ def _(spark, sf):
     return m.select("y", F.array_min(xs).cast("bigint").alias("x0"), _round(g("Length", F.col("part")), 1).alias("length"))
 
 
-@query("agg03_dissolve")
+@query("agg03_dissolve", """with x as (select kind, x, lead(x) over (partition by kind order by x) as x1 from (select distinct kind, unnest([west, east]) as x from areas)),
+  y as (select kind, y, lead(y) over (partition by kind order by y) as y1 from (select distinct kind, unnest([south, north]) as y from areas))
+  select x.kind, cast(round(sum((x1 - x) * (y1 - y)) * 1e4) as bigint) as area from x join y on x.kind = y.kind
+  where x1 is not null and y1 is not null and exists (select 1 from areas a where a.kind = x.kind and a.west <= x and a.east >= x1 and a.south <= y and a.north >= y1) group by 1""")
 def _(spark, sf):
     d = shapes.dissolve(_areas(spark, sf).select("kind", "shape"), ["kind"])
-    return d.select("kind", F.round(g("Area", F.col("shape")), 6).alias("area"), F.size(g("Polygons", F.col("shape"))).alias("parts"))
+    return d.select("kind", _round(g("Area", F.col("shape")), 1e4).alias("area"))
 
 
 # Lines of a row (80 apart from the next), a name and an agency are one group; runs are its lines put together, at each height and over all.
