@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut
+from ..session import store
 from .match import GENERIC, SHARED_ID_M, name_pairs
 
 
@@ -21,13 +21,13 @@ def components(ids: DataFrame, edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     `ids` has id; `edges` has a, b. Jumps make the number of rounds the logarithm of the longest chain.
     """
-    both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(ids.select("id", F.col("id").alias("c")).distinct())
+    both = store(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = store(ids.select("id", F.col("id").alias("c")).distinct())
     for _ in range(rounds):
         near = both.join(label, F.col("b") == F.col("id")).groupBy("a").agg(F.min("c").alias("m"))
         new = label.join(near, F.col("id") == F.col("a"), "left").select("id", F.least("c", "m").alias("c"), F.col("c").alias("old"))
         jump = new.select(F.col("id").alias("j"), F.col("c").alias("jc"))
-        new = cut(new.join(jump, F.col("c") == F.col("j"), "left").select("id", F.least("c", "jc").alias("c"), "old"))
+        new = store(new.join(jump, F.col("c") == F.col("j"), "left").select("id", F.least("c", "jc").alias("c"), "old"))
         if new.filter("c <> old").isEmpty():
             return new.select("id", F.col("c").alias("component"))
         label = new.select("id", "c")
@@ -76,7 +76,7 @@ def canonicalize(records: DataFrame) -> DataFrame:
 
     `records` are keyed (see match.keyed) with distinct `id`, and `gnis_id`, `match_ambiguous`, `precedence`.
     """
-    records = cut(records.select("id", "key", "family", "kind", "lon", "lat", "gnis_id", F.coalesce("match_ambiguous", F.lit(False)).alias("match_ambiguous"), "precedence"))
+    records = store(records.select("id", "key", "family", "kind", "lon", "lat", "gnis_id", F.coalesce("match_ambiguous", F.lit(False)).alias("match_ambiguous"), "precedence"))
     by_name = name_pairs(records, records).filter("id_a < id_b and m <= 300").select(F.col("id_a").alias("a"), F.col("id_b").alias("b"))
     ids = records.filter("gnis_id is not null").select("gnis_id", "id")
     # All that share an id hang on the least of them: no pairs within the group.
@@ -85,6 +85,16 @@ def canonicalize(records: DataFrame) -> DataFrame:
     parts = components(records, by_name.union(by_id))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold_component(pdf), columns=["canonical", "id", "reason"])
-
-    return records.join(parts, "id").groupBy("component").applyInPandas(fold, "canonical string, id string, reason string")
+        pdf = pdf.sort_values(["component", "precedence", "id"], kind="stable")
+        names = pdf["component"].to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero(names[1:] != names[:-1]) + 1, [len(names)]])
+        ids, out = pdf["id"].to_numpy(), []
+        for a, b in zip(edges[:-1], edges[1:]):
+            out += fold_component(pdf.iloc[a:b]) if b - a > 1 else [(ids[a], ids[a], "new")]
+        return pd.DataFrame(out, columns=["canonical", "id", "reason"])
+
+    # A component is folded whole; many small ones go to one call.
+    rows = store(records.join(parts, "id"))
+    calls = max(1, rows.count() // 20_000)
+    call = F.pmod(F.xxhash64("component"), F.lit(calls)).alias("call")
+    return rows.groupBy(call).applyInPandas(fold, "canonical string, id string, reason string")

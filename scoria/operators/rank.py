@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mercator import world_x, world_y
-from ..session import cut, fresh, small, store
+from ..session import fresh, small, store
 from .classify import lookup
 
 # Weights of places to go to, kinds that are details, landmarks by zoom and score.
@@ -74,7 +74,7 @@ def thin(df: DataFrame, spacing: float = 104, detail_spacing: float | None = Non
     drop out, until nobody is open. What is never taken gets max(14, earliest).
     `df` has distinct `id`, and `lon`, `lat`, `score`, `earliest`.
     """
-    base = cut(df.select("id", "score", "earliest", world_x(F.col("lon")).alias("x"), world_y(F.col("lat")).alias("y")))
+    base = store(df.select("id", "score", "earliest", world_x(F.col("lon")).alias("x"), world_y(F.col("lat")).alias("y")))
     taken = base.limit(0).select("id", "x", "y", F.lit(0).alias("zoom"))
     for z in zooms:
         px = detail_spacing if detail_spacing and z >= 10 else spacing
@@ -93,19 +93,19 @@ def thin(df: DataFrame, spacing: float = 104, detail_spacing: float | None = Non
         free = home(base.filter(F.col("earliest") <= z).join(taken.select("id"), "id", "left_anti"))
         same = [F.col("u.cx") == F.col("v.cx"), F.col("u.cy") == F.col("v.cy")]
         open_ = free.alias("u").join(around(taken).alias("v"), [*same, near("u", "v")], "left_anti").select("id", "x", "y", "score")
-        open_ = cut(open_)
+        open_ = store(open_)
         edges = home(open_).alias("u").join(around(open_).alias("v"), [*same, F.col("u.id") != F.col("v.id"), near("u", "v")])
         before = (F.col("v.score") > F.col("u.score")) | ((F.col("v.score") == F.col("u.score")) & (F.col("v.id") < F.col("u.id")))
-        edges = cut(edges.select(F.col("u.id").alias("id"), F.col("v.id").alias("other"), before.alias("before")).distinct())
+        edges = store(edges.select(F.col("u.id").alias("id"), F.col("v.id").alias("other"), before.alias("before")).distinct())
         while True:
             blocked = edges.filter("before").select("id").distinct()
-            won = cut(open_.join(blocked, "id", "left_anti"))
+            won = store(open_.join(blocked, "id", "left_anti"))
             if won.isEmpty():
                 break
-            taken = cut(taken.unionByName(won.select("id", "x", "y", F.lit(z).alias("zoom"))))
+            taken = store(taken.unionByName(won.select("id", "x", "y", F.lit(z).alias("zoom"))))
             gone = won.select("id").union(edges.join(won.select(F.col("id").alias("other")), "other").select("id")).distinct()
-            open_ = cut(open_.join(gone, "id", "left_anti"))
+            open_ = store(open_.join(gone, "id", "left_anti"))
             gone = gone.select(F.col("id").alias("g"))
-            edges = cut(edges.join(gone, F.col("id") == F.col("g"), "left_anti").join(gone, F.col("other") == F.col("g"), "left_anti"))
+            edges = store(edges.join(gone, F.col("id") == F.col("g"), "left_anti").join(gone, F.col("other") == F.col("g"), "left_anti"))
     left = base.join(taken.select("id", "zoom"), "id", "left")
     return left.select("id", F.coalesce("zoom", F.greatest(F.lit(14), F.col("earliest"))).alias("zoom"))

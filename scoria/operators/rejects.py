@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut, fits, fresh
+from ..session import fits, fresh, store
 
 GNIS_FIELDS = (
     "feature_id", "feature_name", "feature_class", "state_name", "county_name", "map_name",
@@ -99,7 +99,7 @@ def parse_lines(df: DataFrame, line: str = "raw_line", fields=GNIS_FIELDS, check
         ok = ok | ((F.col("c") == c) & check(F.col("v")))
     # The verdict hangs on `rows`, an aggregate: else it would be pushed below it, to every row.
     failed = F.when(F.col("rows") > 0, ~F.coalesce(ok, F.lit(False))).otherwise(False)
-    bad = cut(values.filter(failed).select("c", "v"))
+    bad = store(values.filter(failed).select("c", "v"))
     here = fits(bad)
     # Beyond a broadcast, one bad value may be on a third of all lines: lines are spread over salts, and the dictionary goes to each.
     (salt, salt_of) = fresh(out, "salt", "salt_of")

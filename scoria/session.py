@@ -37,17 +37,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """The same rows with their lineage cut by a reliable checkpoint."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
-
-
 def store(df: DataFrame) -> DataFrame:
-    """The same rows, written once as a table in the checkpoint folder and read back.
+    """The same rows with their lineage cut: written once as a table in the checkpoint folder and read back.
 
-    Cuts the lineage as `cut` does; later reads take only the columns and row groups they
-    need, which pays where rows are wide or read several times.
+    A checkpoint of the session does the same but computes the rows twice; later reads of a table also take only the
+    columns and row groups that they need. Tables stay until the folder is cleared, as results may be read late.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/scoria-{uuid.uuid4().hex}"
     df.write.parquet(path)
