@@ -64,7 +64,8 @@ def name_pairs(a: DataFrame, b: DataFrame, columns: tuple[str, ...] = ()) -> Dat
     side = lambda df, s: df.filter(~F.col("key").isin(*GENERIC)).select(
         "key", "family", "cx", "cy", *(F.col(c).alias(f"{c}_{s}") for c in ("id", "kind", "lon", "lat", *columns))
     )
-    pairs = side(_cells(a, False), "a").join(side(_cells(b, True), "b"), ["key", "family", "cx", "cy"])
+    # Not broadcast, whatever Spark takes the sides for: it doesn't count that b is spread over nine cells.
+    pairs = side(_cells(a, False), "a").join(side(_cells(b, True), "b").hint("merge"), ["key", "family", "cx", "cy"])
     return pairs.withColumn("m", flat_m(F.col("lon_a"), F.col("lat_a"), F.col("lon_b"), F.col("lat_b"))).drop("cx", "cy")
 
 

@@ -113,3 +113,19 @@ def test_canonical_records(spark):
         "nps:1": ("nps:1", "new"), "usfs:1": ("nps:1", "name_kind_distance"), "gnis:7": ("nps:1", "gnis_id"), "gnis:8": ("gnis:8", "new"),
         "a": ("a", "new"), "b": ("b", "new"), "c": ("c", "new"), "d": ("d", "new"), "e": ("e", "new"),
     }
+
+
+def test_canonical_records_are_not_broadcast(spark, monkeypatch):
+    """Spark takes packed files for small and doesn't count that a row is spread over nine cells."""
+    plans = []
+
+    def kept(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+    monkeypatch.setattr(canonical, "store", kept)
+    rows = [("a", "Foo", "summit", -100.0, 40.0, "7", False, 0), ("b", "Foo", "summit", -100.0, 40.001, "7", False, 1)]
+    schema = "id string, name string, kind string, lon double, lat double, gnis_id string, match_ambiguous boolean, precedence int"
+    out = canonical.canonicalize(match.keyed(spark.createDataFrame(rows, schema)))
+    assert {tuple(r) for r in out.select("id", "canonical").collect()} == {("a", "a"), ("b", "a")}
+    assert sum("SortMergeJoin" in p for p in plans) >= 3 and not any("Broadcast" in p for p in plans)
