@@ -154,11 +154,14 @@ def _(spark, sf):
 
 
 def _places(spark, sf, precedence):
-    """Records of places five kilometres apart, three of each fifty metres apart under one name."""
+    """Records of places five kilometres apart, three of each fifty metres apart under one name.
+
+    After 300,000 places, at 80 degrees, their rows begin again in the south, where other names hold the positions.
+    """
     place = F.floor(c("p_partkey") / 3)
     return match.keyed(table(spark, sf, "part").select(
         c("p_partkey").cast("string").alias("id"), F.concat(F.lit("Place "), place.cast("string")).alias("name"), F.lit("summit").alias("kind"), (-120 + place % 300 * 0.05 + c("p_partkey") % 3 * 0.0005).alias("lon"),
-        (30 + F.floor(place / 300) * 0.05).alias("lat"), F.lit(None).cast("string").alias("gnis_id"), F.lit(False).alias("match_ambiguous"), precedence.alias("precedence"),
+        (30 + F.floor(place / 300) % 1000 * 0.05).alias("lat"), F.lit(None).cast("string").alias("gnis_id"), F.lit(False).alias("match_ambiguous"), precedence.alias("precedence"),
     ))
 
 

@@ -37,3 +37,12 @@ def test_equivalence_both_ways(spark):
     a = spark.createDataFrame([(1, "x"), (2, None), (2, None)], "id int, k string")
     more = spark.createDataFrame([(1, "x"), (2, None), (2, None), (3, "y")], "id int, k string")
     assert [ledger.differing(*x).first()[0] for x in ((a, a), (a, more), (more, a), (a, a.distinct()))] == [0, 1, 1, 1]
+
+
+def test_canonical_places_of_any_number(spark, tmp_path):
+    """Places are on the map whatever their keys, those past the 360,000th too."""
+    keys = [0, 1, 2, 900_000, 900_001, 1_199_998, 1_199_999, 5_000_000_001, 5_000_000_002]
+    spark.createDataFrame([(k,) for k in keys], "p_partkey bigint").write.parquet(f"{tmp_path}/part.parquet")
+    for name, order in (("j07_dedupe", lambda k: (k * 7 % 5, str(k))), ("j21_client_order", lambda k: (k % 2, k * 7 % 5, str(k)))):
+        want = {str(k): str(min((x for x in keys if x // 3 == k // 3), key=order)) for k in keys}
+        assert {r.id: r.canonical for r in run(spark, name, tmp_path).collect()} == want
